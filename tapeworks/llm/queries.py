@@ -22,6 +22,12 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -29,6 +35,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wumanber import digest, find_items
+
+    return digest(find_items(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark")))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,8 +88,10 @@ FROM parts"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op3_quality_rules, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": _op10_sql()}
+    from .linededup import ORACLE_SQL
+
+    return {"op8_line_dedup": ORACLE_SQL, "op10_url_filters": _op10_sql()}
