@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nearlinks
-from .common import WordHashes, bounded_batches, column, shingles, written
+from .common import WordHashes, bounded_batches, column, connected, shingles, small, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -74,15 +74,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     chosen = written(reps.select("id", "n", "bands", "sig"), "chosen")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return shingle_sets(texts.join(ids, "id", "left_semi"), kind)
+        return shingle_sets(texts.join(small(ids.distinct()), "id", "left_semi"), kind)
 
     linked = nearlinks.classes(chosen, sets_of, percent)
     # Rows that share an id tie the classes of their sets together.
     ties = nonempty.join(first, "set_hash").where("id <> rep").select("id", "rep")
     repeated = feats.groupBy("id").agg(F.count_distinct("set_hash").alias("c")).where("c > 1").select("id")
     if not repeated.isEmpty():
-        from .common import connected
-
         more = ties.join(repeated, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         linked = connected(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     label = linked.select(F.col("id").alias("rep"), "component")

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected, written
@@ -152,20 +152,26 @@ def _edges_out(ids: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([take(a), take(b)], names=["a", "b"])
 
 
-def _signature_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _groups(batches, _BLOCK):
-        bounds = _bounds(table, _BLOCK)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-        first = np.repeat(bounds[:-1], np.diff(bounds))
-        star = estimate(sig, sig[first]) >= CANDIDATE
-        rows = np.arange(table.num_rows)
-        pairs = list(zip(first[star & (rows != first)].tolist(), rows[star & (rows != first)].tolist(), strict=True))
-        for k in np.unique(np.searchsorted(bounds, np.flatnonzero(~star), "right") - 1):
-            lo, hi = int(bounds[k]), int(bounds[k + 1])
-            if hi - lo > 2:
-                own = sig[lo:hi]
-                pairs += [(lo + x, lo + y) for x, y in spanning(hi - lo, lambda i, others: estimate(own[others], own[i]) >= CANDIDATE)]
-        yield _edges_out(table.column("id"), pairs)
+def _signature_trees(perms: int) -> Callable:
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return estimate(x, y, perms) >= CANDIDATE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, _BLOCK):
+            bounds = _bounds(table, _BLOCK)
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            first = np.repeat(bounds[:-1], np.diff(bounds))
+            star = near(sig, sig[first])
+            rows = np.arange(table.num_rows)
+            pairs = list(zip(first[star & (rows != first)].tolist(), rows[star & (rows != first)].tolist(), strict=True))
+            for k in np.unique(np.searchsorted(bounds, np.flatnonzero(~star), "right") - 1):
+                lo, hi = int(bounds[k]), int(bounds[k + 1])
+                if hi - lo > 2:
+                    own = sig[lo:hi]
+                    pairs += [(lo + x, lo + y) for x, y in spanning(hi - lo, lambda i, others, own=own: near(own[others], own[i]))]
+            yield _edges_out(table.column("id"), pairs)
+
+    return run
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -243,27 +249,25 @@ def in_blocks(members: DataFrame, keep: list[str]) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
 
-def weak_edges(features: DataFrame) -> DataFrame:
+def weak_edges(features: DataFrame, perms: int = PERMS) -> DataFrame:
     """Edges (a, b) of trees of pairs that may be similar, of ``features (id, bands, sig)``."""
     kind = features.schema["id"].dataType.simpleString()
     keys = features.select("id", F.explode("bands").alias("key"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("key")
     found = keys.withColumn("n", F.count("*").over(w)).where("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(SIGNATURES)).cast("int").alias("chunks")
     members = found.select("key", "id", chunks).join(features.select("id", "sig"), "id")
-    return in_blocks(members, ["sig"]).mapInArrow(_signature_trees, f"a {kind}, b {kind}")
+    return in_blocks(members, ["sig"]).mapInArrow(_signature_trees(perms), f"a {kind}, b {kind}")
 
 
-def classes(features: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75) -> DataFrame:
+def classes(features: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75, perms: int = PERMS) -> DataFrame:
     """(id, component) of every id that has a link.
 
     ``features``: id, n (set size), bands, sig; ids distinct, sets not empty, and
     cheap to read again.  ``sets_of(ids)`` gives (id, shingles) for a table of ids.
     """
     kind = features.schema["id"].dataType.simpleString()
-    weak = connected(weak_edges(features))
+    weak = connected(weak_edges(features, perms))
     weak = written(weak.select("id", F.col("component").alias("group")), "groups")
     sizes = weak.join(features.select("id", "n"), "id").groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     chunks = F.ceil(F.greatest(F.col("c") / F.lit(SETS), F.col("s") / F.lit(SHINGLES))).cast("int")

@@ -41,6 +41,13 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import dedup_passages
+
+    out = dedup_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_paragraphs", "n_repeated", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wumanber import digest, find_items
 
@@ -88,7 +95,7 @@ FROM parts"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op5_passage_dedup, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
