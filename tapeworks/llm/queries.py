@@ -48,6 +48,12 @@ def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_paragraphs", "n_repeated", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramlm import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wumanber import digest, find_items
 
@@ -95,7 +101,7 @@ FROM parts"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op5_passage_dedup, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op5_passage_dedup, op6_lm_scores, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
