@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, extended
 
 #: Characters of a leaf, and of the first window on each side of a seam.
 LEAF = 1 << 15
@@ -105,7 +105,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", l
             ids = [tree_encode(t or "", enc.encode_ordinary, leaf) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
-    return docs.drop("ids").mapInArrow(run, schema.add("ids", "array<int>"))
+    return docs.drop("ids").mapInArrow(run, extended(schema, "ids array<int>"))
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", leaf: int = LEAF) -> DataFrame:
@@ -119,7 +119,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", lea
             out = [tree_decode(x or [], enc.decode_bytes, leaf) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    return docs.drop("decoded").mapInArrow(run, schema.add("decoded", "binary"))
+    return docs.drop("decoded").mapInArrow(run, extended(schema, "decoded binary"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:

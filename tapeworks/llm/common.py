@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch handed to Python, so that a worker's memory is bounded.
 BATCH_ROWS = 512
@@ -57,6 +58,11 @@ def scan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """A new schema with the fields of a DDL string after those of ``schema``."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def column(batch, name: str) -> list:
     """A string column as UTF-8 bytes (None for null), without decoding."""
     import pyarrow as pa

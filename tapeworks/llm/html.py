@@ -31,7 +31,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, extended
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -317,7 +317,7 @@ def extract(pages: DataFrame) -> DataFrame:
     bounded_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
     keep = [c for c in pages.columns if c != "html"]
-    schema = pages.drop("html").schema.add("text", "string").add("n_chars", "long")
+    schema = extended(pages.drop("html").schema, "text string, n_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, small, written
+from .common import bounded_batches, column, extended, small, written
 
 LINES = 3
 
@@ -80,7 +80,7 @@ def dedup_lines(docs: DataFrame, k: int = LINES) -> DataFrame:
     gone = later.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")).agg(F.sort_array(F.collect_set("at.i")).alias("_gone"))
     gone = small(written(gone, "gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
-    schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
+    schema = extended(docs.schema, "n_lines long, n_removed long")
     names = [c if c.lower() != "text" else c for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

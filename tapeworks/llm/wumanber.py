@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, written
+from .common import bounded_batches, column, extended, written
 
 WINDOW = 10
 #: Words of benchmark text whose tables one search holds.
@@ -124,9 +124,7 @@ def _search(docs: DataFrame, block: list[tuple], window: int) -> DataFrame:
     ids = list(names)
     shared = spark.sparkContext.broadcast((items, ids))
     made: dict = {}
-    schema = docs.schema
-    for name, kind in (("n_words", "long"), ("hits", "array<struct<start:int,end:int>>"), ("items", "array<string>")):
-        schema = schema.add(name, kind)
+    schema = extended(docs.schema, "n_words long, hits array<struct<start:int,end:int>>, items array<string>")
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
