@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch handed to Python, so that a worker's memory is bounded.
 BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Entries of a per-worker cache before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -19,10 +19,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_ENTRIES, bounded_batches, column
+from .common import bounded_batches, column
 
 #: UTF-8 bytes of one batch that the tokenizer gets.
 ENCODE_BYTES = 1 << 20
+#: Lengths kept by a worker; emptied when full.
+CACHE_ENTRIES = 400_000
 #: Parts longer than this are not kept in the cache.
 CACHED_CHARS = 48
 _CUT = re.compile(r"(?<=\S) ")
