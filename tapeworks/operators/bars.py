@@ -124,33 +124,47 @@ def threshold_groups(weights: np.ndarray, threshold: float, start: int = 0, carr
     return out, bar, 0.0
 
 
-def threshold_bars(ticks: DataFrame, threshold: int, weight: str, by: tuple[str, ...] = ("symbol",), partial: bool = False) -> DataFrame:
-    """Dollar bars (weight ``px * size``, in whole units) or volume bars (``size``).
+def numbered(df: DataFrame, threshold: float, weight: Column, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``df`` with ``bar``, the number of the threshold bar of each row, and ``_w``, its weight.
 
     Rows of a key are read in order in bounded batches: only the open bar's number and
-    sum are carried, so a key with very many ticks needs no more memory than another.
-    Which rows belong together is found in Python; the bars are aggregated natively.
+    sum are carried, so a key with very many rows needs no more memory than another.
     """
-    by = tuple(by)
-    cols = ["event_id", *by, "ts", "px", "size"]
-    ordered = ticks.select(*cols, F.expr(weight).cast("double").alias("_w")).repartition(*by).sortWithinPartitions(*by, "ts")
+    by = list(by)
+    ordered = df.withColumn("_w", weight.cast("double")).repartition(*by).sortWithinPartitions(*by, "ts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, bar, carry = None, 0, 0.0
         for pdf in batches:
             number = np.empty(len(pdf), np.int64)
-            for k, rows in pdf.groupby(list(by), sort=False, dropna=False).indices.items():
+            for k, rows in pdf.groupby(by, sort=False, dropna=False).indices.items():
                 if k != key:
                     key, bar, carry = k, 0, 0.0
                 number[rows], bar, carry = threshold_groups(pdf["_w"].to_numpy()[rows], threshold, bar, carry)
             yield pdf.assign(bar=number)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", bar long"
-    keyed = ordered.mapInPandas(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", bar long"
+    return ordered.mapInPandas(run, schema)
+
+
+def threshold_bars(ticks: DataFrame, threshold: int, weight: str, by: tuple[str, ...] = ("symbol",), partial: bool = False) -> DataFrame:
+    """Dollar bars (weight ``px * size``, in whole units) or volume bars (``size``) of ticks.
+
+    Which rows belong together is found in order; the bars are aggregated natively.
+    """
+    keyed = numbered(ticks.select(*by, "ts", "px", "size"), threshold, F.expr(weight), by)
     out = keyed.groupBy(*by, "bar").agg(F.min("ts").alias("ts"), price(F.min_by("px", "ts")).alias("open"), price(F.max("px")).alias("high"), price(F.min("px")).alias("low"), price(F.max_by("px", "ts")).alias("close"), F.sum("size").alias("volume"), (F.sum(F.col("px") * F.col("size")) / (F.lit(4.0) * F.sum("size"))).alias("vwap"), F.sum("_w").alias("weight"), F.count("*").alias("n_ticks"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("micros"))
     return out if partial else out.where(F.col("weight") >= threshold)
 
 
+def dollar_bars_of_bars(bars: DataFrame, threshold: float, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Dollar bars of finer bars by close * volume * point value; what is left at the end is not emitted."""
+    keyed = numbered(bars.select(*by, "ts", "open", "high", "low", "close", "volume"), threshold, F.col("close") * F.col("volume") * POINT_VALUE, by)
+    seconds = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    out = keyed.groupBy(*by, "bar").agg(F.min("ts").alias("ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.sum("_w").alias("dollar_volume"), seconds.alias("bar_duration_s"))
+    return out.where(F.col("dollar_volume") >= threshold)
+
+
 def rich_bars(ticks: DataFrame, freq: str) -> DataFrame:
     """Microstructure of a bar: sizes, spreads, up and down ticks, imbalance, depth ratio, microprice."""
     w = Window.partitionBy("symbol").orderBy("ts")

@@ -278,7 +278,7 @@ def vwap_session(bars: DataFrame, n: int = 20, kiss: int = 6, far: float = 1.5,
     df = df.withColumn("_v", F.sum(F.col("_t") * v).over(w) / F.sum(v).over(w))
     df = df.withColumn("_var", F.sum(F.col("_t") * F.col("_t") * v).over(w) / F.sum(v).over(w) - F.col("_v") * F.col("_v"))
     df = df.withColumn("_sd", F.sqrt(F.greatest(F.col("_var"), F.lit(0.0)))).withColumn("_age", F.count("*").over(w))
-    df = df.withColumn("_dev", F.when(F.col("_sd") > 1e-6, (F.col("close") - F.col("_v")) / F.col("_sd")).otherwise(0.0))
+    df = df.withColumn("_dev", F.when(F.col("_sd") > 1e-3, (F.col("close") - F.col("_v")) / F.col("_sd")).otherwise(0.0))
     s = last_n(DAY, n)
     df = df.withColumn("_k", F.when(F.count("_v").over(s) >= 2, F.regr_slope(F.col("_v"), F.col("_i")).over(s)))
     before = ordered(DAY).rowsBetween(-kiss, -1)
@@ -286,7 +286,7 @@ def vwap_session(bars: DataFrame, n: int = 20, kiss: int = 6, far: float = 1.5,
     k = F.abs(F.coalesce("_k", F.lit(0.0)))
     mode = F.when((k < flat), "REVERSION").when(k > steep, "PULLBACK").otherwise("NEUTRAL")
     first = (F.abs("_dev") < 0.5) & (F.col("_was") == 1) & (F.col("_near") == 0)
-    return _drop(df.withColumn("vwap_session", result(F.col("_dev"), F.lit(True), F.when(F.col("_dev") < 0, "long").when(F.col("_dev") > 0, "short"), vwap=F.col("_v"), sd=F.col("_sd"), slope=F.coalesce("_k", F.lit(0.0)), mode=mode, first_kiss=F.coalesce(first, F.lit(False)), session_age_bars=F.col("_age"))))
+    return _drop(df.withColumn("vwap_session", result(F.col("_dev"), F.lit(True), F.when(F.round("_dev", 6) < 0, "long").when(F.round("_dev", 6) > 0, "short"), vwap=F.col("_v"), sd=F.col("_sd"), slope=F.coalesce("_k", F.lit(0.0)), mode=mode, first_kiss=F.coalesce(first, F.lit(False)), session_age_bars=F.col("_age"))))
 
 
 @signal("vwap_slope")
