@@ -110,7 +110,7 @@ def parse(html: str) -> Node:
             elif name not in _VOID:
                 if name in _BLOCKS and skip[-1] == "p":
                     skip.pop()
-                    if not skip and name != "p" and not _noise(name, m[3], False):
+                    if not skip:  # the tag stands outside again
                         at = m.start()
                         continue
                 skip.append(name)

@@ -86,5 +86,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     label = linked.select(F.col("id").alias("rep"), "component")
     of_set = first.join(label, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = feats.select("id", "n", "set_hash").join(of_set, "set_hash", "left")
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -28,7 +28,7 @@ HOST_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example
 
 #: Pattern rules: (name, literal tokens that every match holds, regular expression on the lower-cased url).
 PATTERN_RULES = [
-    ("ad-server", ["ads"], r"://ads?\d*\.|[/.]ads[/.]"),
+    ("ad-server", ["ads"], r"[/.]ads[/.]"),
     ("ad-click", ["adclick"], r"[/?&]adclick\b"),
     ("banner", ["banners"], r"/banners/"),
     ("casino", ["casino"], r"\bcasino\b"),
