@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels as K
 from ..functions.windows import last_n, ordered, percent_rank_below, rolling
@@ -19,20 +21,22 @@ from .signals import BY, TICK, _drop, _session_open, result, signal, with_day
 
 
 def series(bars: DataFrame, columns: list[str], out: list[str], f: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], by: tuple[str, ...] = ("symbol",), ts: str = "ts") -> DataFrame:
-    """Bars with the columns that ``f`` makes of each key's ordered columns (NaN becomes null)."""
-    by = tuple(by)
-    need = list(dict.fromkeys([*by, ts, *columns]))
-    kinds = {x.name: x.dataType.simpleString() for x in bars.schema.fields}
+    """Bars with the columns that ``f`` makes of each key's ordered columns (NaN becomes null).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        made = f({c: pdf[c].to_numpy(float) for c in columns})
-        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in [*by, ts]}, **{c: made[c] for c in out}})
+    All other columns pass through as Arrow arrays, so there is no join back and the
+    plan below is used once however many recursions are stacked.
+    """
+    keep = [c for c in bars.columns if c not in out]
 
-    schema = ", ".join([f"{c} {kinds[c]}" for c in [*by, ts]] + [f"{c} double" for c in out])
-    made = bars.select(*need).groupBy(*by).applyInPandas(run, schema)
-    made = made.select(*by, ts, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in out])
-    return bars.join(made, [*by, ts])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table[ts]))
+        made = f({c: pc.cast(table[c], pa.float64()).to_numpy().astype(float) for c in columns})
+        for c in out:
+            table = table.append_column(c, pa.array(np.asarray(made[c], float), pa.float64(), from_pandas=True))
+        return table
+
+    schema = T.StructType([*[bars.schema[c] for c in keep], *[T.StructField(c, T.DoubleType()) for c in out]])
+    return bars.select(*keep).groupBy(*by).applyInArrow(run, schema)
 
 
 def ema(bars: DataFrame, column: str, span: int, out: str, seed: str = "first") -> DataFrame:
@@ -128,8 +132,6 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, smooth: int = 9, near:
 def orb_range_size(bars: DataFrame, minutes: int = 15, n: int = 14, low: float = 0.3, high: float = 1.5) -> DataFrame:
     """Opening range in average true ranges."""
     df = atr_column(_session_open(bars), n)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("symbol", "day")
     inside = F.col("_m") <= F.col("_open") + minutes
     span = F.max(F.when(inside, F.col("high"))).over(w) - F.min(F.when(inside, F.col("low"))).over(w)
@@ -152,8 +154,6 @@ def value_area(bars: DataFrame, near: float = 2.0) -> DataFrame:
 
     df = with_day(bars)
     areas = daily_value_areas(tpo_profile(df), tie="up")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("symbol").orderBy("day")
     prior = areas.select("symbol", "day", *[F.lag(c).over(w).alias(f"_{c}") for c in ("poc", "vah", "val")])
     df = df.join(prior, ["symbol", "day"], "left")
