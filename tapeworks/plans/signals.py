@@ -136,7 +136,41 @@ s AS (SELECT symbol, 14 AS i, sum(up) / 14 AS u, sum(dn) / 14 AS w FROM d WHERE
 r AS (SELECT symbol, CAST(i AS BIGINT) AS i, u, w FROM s UNION ALL SELECT d.symbol, d.i, (r.u * 13 + d.up) / 14, (r.w * 13 + d.dn) / 14 FROM r JOIN d ON d.symbol = r.symbol AND d.i = r.i + 1),
 x AS (SELECT n.symbol, n.ts, CASE WHEN r.i IS NULL THEN 50.0 WHEN r.w < 1e-10 THEN 100 ELSE 100 - 100 / (1 + r.u / r.w) END AS v FROM n LEFT JOIN r ON r.symbol = n.symbol AND r.i = n.i - 1) """ + _final("v", "v > 50 OR v < 50", _dir("v > 50", "v < 50"), "x"))
 
-for _key, _name in [("sg02_adx", "adx"), ("sg08_hmm_regime", "hmm_regime"), ("sg10_keltner_channel", "keltner_channel"), ("sg11_macd", "macd"), ("sg15_orb_range_size", "orb_range_size"), ("sg16_poc_distance", "poc_distance"), ("sg19_regime_v2", "regime_v2"), ("sg26_value_area", "value_area")]:
+def _seeded(out: str, base: str, column: str, first: int, n: int, step: str) -> str:
+    """A recursion over ``base (symbol, i, column)`` that begins with the mean of n values, the first at row ``first``."""
+    return f"""{out}_0 AS (SELECT symbol, CAST({first + n - 1} AS BIGINT) AS i, avg({column}) AS v FROM {base} WHERE i BETWEEN {first} AND {first + n - 1} GROUP BY symbol HAVING count({column}) = {n}),
+{out} AS (SELECT * FROM {out}_0 UNION ALL SELECT x.symbol, x.i, {step} FROM {out} p JOIN {base} x ON x.symbol = p.symbol AND x.i = p.i + 1)"""
+
+
+def _smooth(column: str, n: int) -> str:
+    return f"{2.0 / (n + 1)!r}::DOUBLE * x.{column} + {1 - 2.0 / (n + 1)!r}::DOUBLE * p.v"
+
+
+_recursive("sg10_keltner_channel", "keltner_channel", f"""{_N}, {_TR}, {_ema_sql('close', 20, 'm')}, {_seeded('a', 't', 'tr', 2, 20, '(p.v * 19 + x.tr) / 20')},
+j AS (SELECT n.symbol, n.ts, n.close, m.v AS m, a.v AS a FROM n JOIN m USING (symbol, i) LEFT JOIN a USING (symbol, i)) """
+           + _final("CASE WHEN a > 0 THEN (close - m) / a END", "true", _dir("close > m + 1.5 * a", "close < m - 1.5 * a"), "j", ", round(m + 1.5 * a, 4) AS upper, round(m - 1.5 * a, 4) AS lower"), ("upper", "lower"))
+
+_recursive("sg11_macd", "macd", f"""{_N}, {_seeded('f', 'n', 'close', 1, 12, _smooth('close', 12))}, {_seeded('s', 'n', 'close', 1, 26, _smooth('close', 26))}, l AS (SELECT symbol, i, f.v - s.v AS l FROM f JOIN s USING (symbol, i)), {_seeded('g', 'l', 'l', 26, 9, _smooth('l', 9))},
+j AS (SELECT n.symbol, n.ts, l.l, l.l - g.v AS h FROM n LEFT JOIN l USING (symbol, i) LEFT JOIN g USING (symbol, i)), x AS (SELECT *, lag(l) OVER w AS p, min(abs(l)) OVER b AS lo FROM j WINDOW {_W}, b AS {before(3)}) """
+           + _final("h", "lo <= 0.5 AND ((l > 0 AND l > p AND h > 0) OR (l < 0 AND l < p AND h < 0))", _dir("lo <= 0.5 AND l > 0 AND l > p AND h > 0", "lo <= 0.5 AND l < 0 AND l < p AND h < 0"), "x", ", round(l, 4) AS line"), ("line",))
+
+_recursive("sg15_orb_range_size", "orb_range_size", f"""{_N}, {_TR}, {_wilder_sql('a', 'tr', 14, 't')}, o AS (SELECT n.*, a.v AS atr, CAST(ts AS DATE) AS day, epoch(ts) / 60 % 1440 AS m, min(epoch(ts) / 60 % 1440) OVER (PARTITION BY symbol, CAST(ts AS DATE)) AS o FROM n JOIN a USING (symbol, i)),
+x AS (SELECT *, m <= o + 15 AS inside, max(high) FILTER (m <= o + 15) OVER d - min(low) FILTER (m <= o + 15) OVER d AS span FROM o WINDOW d AS (PARTITION BY symbol, day)), y AS (SELECT *, CASE WHEN NOT inside AND atr > 0 THEN span / atr END AS v FROM x) """
+           + _final("v", "v BETWEEN 0.3 AND 1.5", "NULL", "y"))
+
+_signal("sg16_poc_distance", "poc_distance", f"""n AS (SELECT *, row_number() OVER w AS i FROM bars WINDOW {_W}), l AS (SELECT a.symbol, a.i, b.close AS p, sum(b.volume) AS v, min(b.i) AS f FROM n a JOIN n b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 29 AND a.i GROUP BY ALL),
+q AS (SELECT symbol, i, p, row_number() OVER (PARTITION BY symbol, i ORDER BY v DESC, f) AS k FROM l), x AS (SELECT n.symbol, n.ts, (n.close - q.p) / 0.25 AS d, q.p AS poc FROM n JOIN q USING (symbol, i) WHERE k = 1) """
+        + _final("d", "abs(d) >= 4", _dir("d < 0", "d > 0"), "x", ", poc"), ("poc",))
+
+_recursive("sg02_adx", "adx", f"""{_N.replace("lag(close) OVER w AS pc", "lag(close) OVER w AS pc, high - lag(high) OVER w AS um, lag(low) OVER w - low AS dm, count(*) OVER (PARTITION BY symbol) AS c")},
+d AS (SELECT symbol, i - 1 AS i, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CASE WHEN um > dm AND um > 0 THEN um ELSE 0 END AS pl, CASE WHEN dm > um AND dm > 0 THEN dm ELSE 0 END AS mi FROM n WHERE i > 1),
+r AS (SELECT symbol, i, tr, CAST(pl AS DOUBLE) AS pl, CAST(mi AS DOUBLE) AS mi FROM d WHERE i = 1 UNION ALL SELECT d.symbol, d.i, (r.tr * 13 + d.tr) / 14, (r.pl * 13 + d.pl) / 14, (r.mi * 13 + d.mi) / 14 FROM r JOIN d ON d.symbol = r.symbol AND d.i = r.i + 1),
+u AS (SELECT symbol, i, CASE WHEN tr > 1e-10 THEN 100 * pl / tr ELSE 0 END AS p, CASE WHEN tr > 1e-10 THEN 100 * mi / tr ELSE 0 END AS m FROM r), y AS (SELECT *, CASE WHEN p + m > 1e-10 THEN 100 * abs(p - m) / (p + m) ELSE 0 END AS dx FROM u),
+a AS (SELECT symbol, i, dx AS v FROM y WHERE i = 1 UNION ALL SELECT y.symbol, y.i, (a.v * 13 + y.dx) / 14 FROM a JOIN y ON y.symbol = a.symbol AND y.i = a.i + 1),
+x AS (SELECT n.symbol, n.ts, CASE WHEN n.i > 28 AND n.c > 28 THEN a.v ELSE 0 END AS v, CASE WHEN n.i > 28 AND n.c > 28 THEN u.p ELSE 0 END AS p, CASE WHEN n.i > 28 AND n.c > 28 THEN u.m ELSE 0 END AS m FROM n LEFT JOIN u ON u.symbol = n.symbol AND u.i = n.i - 1 LEFT JOIN a ON a.symbol = n.symbol AND a.i = n.i - 1) """
+           + _final("v", "v >= 25", _dir("p > m", "m > p"), "x", ", round(p, 4) AS plus_di, round(m, 4) AS minus_di"), ("plus_di", "minus_di"))
+
+for _key, _name in [("sg08_hmm_regime", "hmm_regime"), ("sg19_regime_v2", "regime_v2"), ("sg26_value_area", "value_area")]:
     _signal(_key, _name)
 
 
