@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import strategies as S
 from ..operators.exits import geometry, needed_signals
 from ..operators.signals import compute, with_day
 from ..sources.tape import ticks
+from . import signals as _signals  # noqa: F401  its SQL is used here
 from .base import BARS_SQL, ONLY_TICKS, hour_bars, rounded
 
 _W = "w AS (PARTITION BY symbol ORDER BY ts)"
@@ -61,17 +64,57 @@ def _trades(spark, sf_dir, name: str):
     return R.replay(i, ["symbol"], s.exits, 1, 12, tuple(fields))
 
 
-def _strategy(key: str, name: str) -> None:
+#: Signals that a strategy's SQL reads, by the query that states them.
+_SIGNAL_SQL = {"atr": "sg01_atr", "adx": "sg02_adx", "boll": "sg03_bollinger", "cvd": "sg04_cvd_divergence", "dc": "sg05_donchian_channel", "ema": "sg06_ema_crossover", "kc": "sg10_keltner_channel", "mfi": "sg12_mfi", "obv": "sg13_obv", "rvol": "sg20_relative_volume", "rsi": "sg21_rsi_momentum", "spread": "sg24_spread", "stoch": "sg25_stochastic", "bias": "sg29_vwap_bias", "vwap": "sg31_vwap_session"}
+
+
+def _entry_sql(signals: str, ok: str, long: str, short: str, target: str, stop: str, cap: int = 3, before: str = "") -> str:
+    """Entries of a strategy from the SQL of its signals, joined by symbol and time."""
+    from ..catalog import _SQL
+
+    names = signals.split()
+    exact = lambda sql: re.sub(r"round\(([^()]*), 4\) AS", r"\1 AS", sql)  # noqa: E731  other fields of a signal as they are
+    parts = ", ".join(f"{n} AS ({exact(_SQL[_SIGNAL_SQL[n]])})" for n in names)
+    joins = " ".join(f"JOIN {n} ON {n}.symbol = b.symbol AND {n}.ts = b.ts" for n in names)
+    return f"""{BARS_SQL}, {parts},
+j AS (SELECT b.symbol, b.ts, b.open, b.high, b.low, b.close, atr.atr_raw AS a, {ok} AS ok, {long} AS l, {short} AS s, {", ".join(f"{n}.value AS {n}_v" for n in names)}{before} FROM bars b {joins}),
+d AS (SELECT *, CASE WHEN NOT ok THEN 0 WHEN coalesce(l, false) THEN 1 WHEN coalesce(s, false) THEN -1 ELSE 0 END AS side FROM j),
+t AS (SELECT *, {target} AS target, {stop} AS stop FROM d),
+c AS (SELECT *, CASE WHEN side * (target - close) > 0 AND side * (close - stop) > 0 THEN side ELSE 0 END AS way FROM t),
+u AS (SELECT *, sum(abs(way)) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) AS n FROM c)
+SELECT symbol, ts, CAST(way AS INTEGER) AS side, close AS entry, round(target, 4) AS target, round(stop, 4) AS stop FROM u WHERE way <> 0 AND n <= {cap}"""
+
+
+def _bracket_sql(target: float, stop: float) -> tuple[str, str]:
+    return f"close + side * {target} * a", f"close - side * {stop} * a"
+
+
+def _strategy_sql() -> dict[str, str]:
+    up, down = "direction = 'long'", "direction = 'short'"
+    return {
+        "vwap_band_reversion": _entry_sql("atr adx rvol vwap", "adx.value < 18 AND rvol.value >= 0.3", "vwap.value <= -2.5", "vwap.value >= 2.5", "v", "CASE WHEN side > 0 THEN least(close - a, low - 0.25) ELSE greatest(close + a, high + 0.25) END", before=", vwap.vwap AS v"),
+        "stoch_bb_fade": _entry_sql("atr adx rvol stoch boll", "stoch.passes AND adx.value < 25 AND rvol.value >= 0.5", f"stoch.{up} AND b.close < boll.lower", f"stoch.{down} AND b.close > boll.upper", *_bracket_sql(1.5, 1.0)),
+        "cvd_divergence": _entry_sql("atr adx cvd bias spread", "cvd.passes AND adx.value BETWEEN 15 AND 35 AND spread.value <= 0.5 AND NOT (spread.value = 0 AND NOT spread.passes)", f"cvd.{up} AND bias.{up}", f"cvd.{down} AND bias.{down}", *_bracket_sql(1.5, 1.0)),
+        "donchian_midline": _entry_sql("atr adx rvol dc ema", "adx.value >= 22 AND rvol.value >= 1.0 AND dc.value >= 1.5 * atr.atr_raw AND coalesce(abs(b.close - (dc.upper + dc.lower) / 2) <= greatest(0.5, 0.05 * (dc.upper - dc.lower)), false)", f"ema.{up}", f"ema.{down}", "CASE WHEN side > 0 THEN up ELSE dn END", "CASE WHEN side > 0 THEN dn - 0.5 ELSE up + 0.5 END", before=", dc.upper AS up, dc.lower AS dn"),
+        "donchian_breakout_trend": _entry_sql("atr adx rvol dc bias", "dc.passes AND adx.value >= 22 AND rvol.value >= 1.5 AND dc.value BETWEEN 2 AND 30", f"dc.{up} AND bias.{up}", f"dc.{down} AND bias.{down}", *_bracket_sql(3.5, 1.75)),
+        "donchian_fade": _entry_sql("atr adx dc rsi vwap", "adx.value < 20", "b.low <= dc.lower AND rsi.value < 30", "b.high >= dc.upper AND rsi.value > 70", "CASE WHEN side * (v - close) > 0 THEN v ELSE close + side * 1.5 * a END", "close - side * 1.25 * a", before=", vwap.vwap AS v"),
+        "mfi_obv_divergence": _entry_sql("atr adx rvol mfi obv", "mfi.passes AND rvol.value >= 0.7 AND adx.value < 30", "mfi.value < 20 AND obv.value > 0", "mfi.value > 80 AND obv.value < 0", *_bracket_sql(1.5, 1.0)),
+        "ttm_squeeze": _entry_sql("atr rvol kc boll rsi", "rvol.value >= 1.2", "sum(CASE WHEN boll.upper < kc.upper AND boll.lower > kc.lower THEN 1 ELSE 0 END) OVER p = 3 AND NOT coalesce(boll.upper < kc.upper AND boll.lower > kc.lower, false) AND b.close > kc.upper AND rsi.value > 50", "sum(CASE WHEN boll.upper < kc.upper AND boll.lower > kc.lower THEN 1 ELSE 0 END) OVER p = 3 AND NOT coalesce(boll.upper < kc.upper AND boll.lower > kc.lower, false) AND b.close < kc.lower AND rsi.value < 50", *_bracket_sql(2.0, 1.0)).replace("OVER p", "OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"),
+    }
+
+
+def _strategy(key: str, name: str, sql: str | None) -> None:
     def query(spark, sf_dir):
         out = S.intents(hour_bars(spark, sf_dir), name).where("side <> 0")
         return rounded(out.select("symbol", "ts", "side", "entry", "target", "stop"), ["target", "stop"])
 
     query.__doc__ = f"Entries of {name}."
-    register(None, key)(query)
+    register(sql, key)(query)
 
 
+_SQLS = _strategy_sql()
 for _n, _name in enumerate(["vwap_band_reversion", "stoch_bb_fade", "macd_zero_line", "cvd_divergence", "donchian_midline", "donchian_squeeze", "donchian_breakout_trend", "donchian_fade", "mfi_obv_divergence", "micro_pullback", "value_area_reversion", "regime_switcher", "pdh_pdl_fade", "gap_fill", "orb_breakout", "ib_fade", "ttm_squeeze", "poc_va_bounce", "ema_ribbon_pullback"], 1):
-    _strategy(f"t{_n:02d}_{_name}", _name)
+    _strategy(f"t{_n:02d}_{_name}", _name, _SQLS.get(_name))
 
 
 @register()
