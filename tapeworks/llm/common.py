@@ -116,15 +116,6 @@ def shingles(words: list[bytes], hashes: WordHashes, k: int = 5) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-#: A table of at most so many narrow rows is sent to every executor; a larger one is joined by a shuffle.
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``rows`` rows (counted, so it should be cheap to read)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """Component of every node of ``edges (a, b)``: rows (id, component), component the smallest id.
 

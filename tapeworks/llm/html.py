@@ -12,8 +12,8 @@ with C characters, T tags, LC characters in links and LT link tags (each at leas
 1).  The sum over a node's children finds the densest subtree.  The smallest
 density on the path from the body to it is the threshold: every node at or above it
 adds its own densest subtree, and the result is the smallest subtree below the
-body that holds them all, or just them where only the body does.  Blocks of that
-whose text is mostly links are left out.
+body that holds them all, or just them where only the body does.  Three or more
+blocks in a row whose text is mostly links are a menu and left out.
 
 Character references are decoded, white space inside a block becomes one blank,
 blocks are trimmed and joined by one line feed.  A null or empty page gives an
@@ -52,6 +52,11 @@ _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _NOISE = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 
 
+#: Prefixes of class words that tell about the page's layout, not of the element itself.
+_LAYOUT = ("has-", "with-", "no-", "is-", "without-")
+_READERS = frozenset("comment comments disqus replies reply".split())
+
+
 class Node:
     __slots__ = ("name", "parent", "children", "text", "link", "tags", "link_tags", "chars", "link_chars", "density")
 
@@ -63,28 +68,33 @@ class Node:
         self.density = 0.0
 
 
-def _noise(name: str, attrs: str, inside: bool) -> bool:
-    """An element that is never article text. inside: it stands in an article or main element."""
+def _noise(name: str, attrs: str, inside: bool) -> str:
+    """Why an element is never article text, or "". inside: it stands in an article or main element."""
     if name in _NEVER or name == "header" and not inside:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return "element"
+    if not attrs or name in ("html", "body", "main"):
+        return ""
     for m in _ATTR.finditer(attrs):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id", "role") and not _NOISE.isdisjoint(_WORD.findall(value)):
-            return True
+            return "hidden"
+        if key in ("class", "id", "role"):
+            words = {w for token in value.split() if not token.startswith(_LAYOUT) for w in _WORD.findall(token)}
+            if not _READERS.isdisjoint(words):
+                return "readers"
+            if name != "article" and not _NOISE.isdisjoint(words):
+                return "words"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "hidden"
+    return ""
 
 
 def parse(html: str) -> Node:
     """The tree of blocks below a body node."""
     body = node = Node("body", None)
     skip: list[str] = []  # open elements inside one that is left out
+    reason, began, wanted, seen = "", 0, -1, False  # why and where that began; where one must stay; an article was seen
     links = 0
     at = 0
     size = len(html)
@@ -107,6 +117,8 @@ def parse(html: str) -> Node:
                     del skip[len(skip) - 1 - skip[::-1].index(name) :]
             elif name in _RAW:
                 at = _raw_end(html, name, at)
+            elif name in ("article", "main") and reason == "words" and not seen and not _noise(name, m[3], True):
+                skip, at, wanted = [], began, began  # it holds the article: read it after all
             elif name not in _VOID:
                 if name in _BLOCKS and skip[-1] == "p":
                     skip.pop()
@@ -150,10 +162,13 @@ def parse(html: str) -> Node:
             up = node
             while up is not None and not inside:
                 inside, up = up.name in ("article", "main"), up.parent
-        if _noise(name, m[3], inside):
+        reason = _noise(name, m[3], inside) if m.start() != wanted else ""
+        if reason:
             if name not in _VOID and not m[3].endswith("/"):
                 skip.append(name)
+                began = m.start()
             continue
+        seen |= name in ("article", "main")
         if name in _BLOCKS and name not in _VOID:
             child = Node(name, node)
             node.children.append(child)
@@ -237,15 +252,15 @@ def content(body: Node) -> list[Node]:
     least, up = best.density, best
     while up is not None:
         least, up = min(least, up.density), up.parent
-    marked: list[Node] = []
+    found: dict[int, Node] = {}
     todo = [body]
     while todo:
         n = todo.pop()
         if n.density >= least and n.chars:
-            found = densest(n)
-            if found not in marked:
-                marked.append(found)
+            top = densest(n)
+            found[id(top)] = top
             todo += _children(n)
+    marked = list(found.values())
     paths = []
     for n in marked:
         path = []
@@ -261,7 +276,7 @@ def content(body: Node) -> list[Node]:
         return [top]
     kept = set(map(id, marked))
     order = {id(n): i for i, n in enumerate(_document_order(body))}
-    return sorted((n for n, p in zip(marked, paths, strict=True) if not any(id(x) in kept for x in p[:-1])), key=lambda n: order[id(n)]) if body not in marked else [body]
+    return sorted((n for n, p in zip(marked, paths, strict=True) if not any(id(x) in kept for x in p[:-1])), key=lambda n: order[id(n)]) if id(body) not in found else [body]
 
 
 def _document_order(root: Node) -> list[Node]:
@@ -274,31 +289,36 @@ def _document_order(root: Node) -> list[Node]:
 
 
 def blocks(root: Node) -> Iterator[str]:
-    """Texts of the blocks in page order, without those that are mostly links."""
+    """Texts of the blocks in page order, without menus."""
     todo: list = [root]
     run: list = []
+    linked: list[str] = []  # the last blocks, as far as they are mostly links
 
-    def flush() -> str | None:
-        if not run:
-            return None
-        text = _SPACE.sub(" ", unescape("".join(x for x, _ in run))).strip()
+    def flush() -> Iterator[str]:
+        text = _SPACE.sub(" ", unescape("".join(x for x, _ in run))).strip() if run else ""
         links = sum(len(x.strip()) for x, a in run if a)
         total = sum(len(x.strip()) for x, _ in run)
         run.clear()
-        return text if text and 2 * links <= total else None
+        if text and 2 * links > total:
+            linked.append(text)
+        elif text:
+            if len(linked) < 3:
+                yield from linked
+            linked.clear()
+            yield text
 
     while todo:
         c = todo.pop()
         if isinstance(c, tuple):
             run.append(c)
             continue
-        if text := flush():
-            yield text
+        yield from flush()
         if isinstance(c, Node):
             todo.append(None)
             todo += reversed(c.children)
-    if text := flush():
-        yield text
+    yield from flush()
+    if len(linked) < 3:
+        yield from linked
 
 
 def main_text(html: str | None) -> str:

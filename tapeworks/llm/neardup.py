@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nearlinks
-from .common import WordHashes, bounded_batches, column, connected, shingles, small, written
+from .common import WordHashes, bounded_batches, column, connected, shingles, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -74,7 +74,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     chosen = written(reps.select("id", "n", "bands", "sig"), "chosen")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return shingle_sets(texts.join(small(ids.distinct()), "id", "left_semi"), kind)
+        return shingle_sets(texts.join(ids, "id", "left_semi"), kind)
 
     linked = nearlinks.classes(chosen, sets_of, percent)
     # Rows that share an id tie the classes of their sets together.

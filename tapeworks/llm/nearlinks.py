@@ -267,11 +267,14 @@ def classes(features: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     cheap to read again.  ``sets_of(ids)`` gives (id, shingles) for a table of ids.
     """
     kind = features.schema["id"].dataType.simpleString()
-    weak = connected(weak_edges(features, perms))
-    weak = written(weak.select("id", F.col("component").alias("group")), "groups")
-    sizes = weak.join(features.select("id", "n"), "id").groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    chunks = F.ceil(F.greatest(F.col("c") / F.lit(SETS), F.col("s") / F.lit(SHINGLES))).cast("int")
-    members = weak.join(sizes.select("group", chunks.alias("chunks")), "group")
-    sets = sets_of(weak.select("id")).join(members, "id").withColumn("key", F.xxhash64("group"))
+    # Groups only have to hold every link, so they may be found by 64-bit hashes of the ids, which are lighter to move.
+    short = F.col("id") if kind == "bigint" else F.xxhash64("id")
+    weak = connected(weak_edges(features.select(short.alias("id"), "bands", "sig"), perms))
+    weak = weak.select(F.col("id").alias("_h"), F.col("component").alias("group"))
+    members = written(features.select("id", "n", short.alias("_h")).join(weak, "_h").select("id", "n", "group"), "groups")
+    chunks = F.ceil(F.greatest(F.count("*") / F.lit(SETS), F.sum("n") / F.lit(SHINGLES))).cast("int")
+    sizes = members.groupBy("group").agg(chunks.alias("chunks"))
+    placed = members.join(sizes, "group").select("id", F.col("group").alias("key"), "chunks")
+    sets = sets_of(members.select("id")).join(placed, "id")
     edges = in_blocks(sets, ["shingles"]).mapInArrow(_exact_trees(percent), f"a {kind}, b {kind}")
     return connected(edges)

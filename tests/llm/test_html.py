@@ -23,6 +23,9 @@ LONG = "Some words of a long enough paragraph, which tells the reader what there
         (f"<p>{LONG}<p style='display:none'>hidden<p>after 1 < 2", f"{LONG}\nafter 1 < 2"),
         ("<style>p{}</style><title>t</title>", ""),
         ("<div>" * 3000 + "deep", "deep"),
+        (f"<div class='wrap sidebar-left'><article><p>{LONG}</p><p><a>{LONG}</a></p></article><div class=sidebar>no</div></div>", f"{LONG}\n{LONG}"),
+        (f"<div class='has-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><p>{LONG}</p></article><article class=comment><p>{LONG} no</p></article>", f"{LONG}\n{LONG}"),
     ],
 )
 def test_pages(html, text):
