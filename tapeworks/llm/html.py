@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches, extended
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
+#: For what follows a tag that never ends: tags without a ``<`` inside, so that each is looked at once.
+_LOOSE = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<[!?/][^<>]*+>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
@@ -58,7 +60,7 @@ _READERS = frozenset("comment comments disqus replies reply".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "text", "link", "tags", "link_tags", "chars", "link_chars", "density")
+    __slots__ = ("name", "parent", "children", "text", "link", "tags", "link_tags", "chars", "link_chars", "density", "best", "most")
 
     def __init__(self, name: str, parent: Node | None) -> None:
         self.name, self.parent = name, parent
@@ -66,6 +68,7 @@ class Node:
         self.tags, self.link_tags = 1, 0
         self.chars = self.link_chars = 0
         self.density = 0.0
+        self.best, self.most = self, -1.0
 
 
 def _noise(name: str, attrs: str, inside: bool) -> str:
@@ -96,11 +99,20 @@ def parse(html: str) -> Node:
     skip: list[str] = []  # open elements inside one that is left out
     reason, began, wanted, seen = "", 0, -1, False  # why and where that began; where one must stay; an article was seen
     links = 0
+    token = _TOKEN
     at = 0
     size = len(html)
     while at < size:
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else size
+        end = at
+        while (end := html.find("<", end)) >= 0:
+            if m := token.match(html, end):
+                break
+            if token is _TOKEN and re.match(r"[a-zA-Z/!?]", html[end + 1 : end + 2]):
+                token = _LOOSE
+            else:
+                end += 1
+        if end < 0:
+            m, end = None, size
         if end > at and not skip:
             node.children.append((html[at:end], links > 0))
         if not m:
@@ -223,6 +235,15 @@ def measure(body: Node) -> list[Node]:
         if c:
             base = math.log(c / max(1, c - n.link_chars) * lc + ratio * c + math.e)
             n.density = max(0.0, c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9) / max(1e-9, math.log(max(base, 1.0 + 1e-9) + 1e-9)))
+    # Sums of children's densities, upwards: each node knows the densest subtree at or below it.
+    for n in reversed(nodes):
+        kids = _children(n)
+        n.most = sum(k.density for k in kids) if kids else n.density
+        if kids and any(isinstance(c, tuple) and c[0].strip() for c in n.children):
+            n.most += n.density
+        for k in kids:  # the densest subtree below a node; ties: the first
+            if k.most > n.most:
+                n.best, n.most = k.best, k.most
     return nodes
 
 
@@ -230,25 +251,9 @@ def _children(n: Node) -> list[Node]:
     return [c for c in n.children if isinstance(c, Node)]
 
 
-def densest(root: Node) -> Node:
-    """The node below (or at) root with the largest sum of its children's densities; ties: the first."""
-    best, most = root, -1.0
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        kids = _children(n)
-        total = sum(k.density for k in kids) if kids else n.density
-        if any(isinstance(c, tuple) and c[0].strip() for c in n.children) and kids:
-            total += n.density
-        if total > most:
-            best, most = n, total
-        todo += reversed(kids)
-    return best
-
-
 def content(body: Node) -> list[Node]:
     """The subtrees that hold the article."""
-    best = densest(body)
+    best = body.best
     least, up = best.density, best
     while up is not None:
         least, up = min(least, up.density), up.parent
@@ -257,7 +262,7 @@ def content(body: Node) -> list[Node]:
     while todo:
         n = todo.pop()
         if n.density >= least and n.chars:
-            top = densest(n)
+            top = n.best
             found[id(top)] = top
             todo += _children(n)
     marked = list(found.values())
