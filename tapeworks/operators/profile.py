@@ -18,10 +18,10 @@ def volume_profile(bars: DataFrame) -> DataFrame:
 
 
 def tpo_profile(bars: DataFrame) -> DataFrame:
-    """Each bar's volume spread evenly over the ticks from its low to its high."""
+    """Each bar's volume spread evenly over the ticks from its low to its high; rounded, so that ties don't hang on the order of addition."""
     lo, hi = F.round(F.col("low") / TICK).cast("long"), F.round(F.col("high") / TICK).cast("long")
     n = hi - lo + 1
-    return bars.select(*DAY, (F.col("volume") / n).alias("v"), F.explode(F.sequence(lo, hi)).alias("level")).groupBy(*DAY, "level").agg(F.sum("v").alias("volume"))
+    return bars.select(*DAY, (F.col("volume") / n).alias("v"), F.explode(F.sequence(lo, hi)).alias("level")).groupBy(*DAY, "level").agg(F.round(F.sum("v"), 6).alias("volume"))
 
 
 def expand(levels: np.ndarray, volumes: np.ndarray, share: float = 0.7, tie: str = "below") -> tuple[int, int, int]:

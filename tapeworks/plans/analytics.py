@@ -57,7 +57,7 @@ def g05_volume_profile(spark, sf_dir):
     return P.volume_profile(_days(spark, sf_dir))
 
 
-def _area_sql(profile: str, tie_below: bool) -> str:
+def area_sql(profile: str, tie_below: bool) -> str:
     """Value areas as a recursion over the sorted levels of each session."""
     choose = "below >= above" if tie_below else "below > above"
     return f"""{BARS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, p AS ({profile}),
@@ -72,15 +72,15 @@ SELECT f.symbol, f.day, t.level * 0.25::DOUBLE AS poc, l.level * 0.25::DOUBLE AS
 JOIN n t ON t.symbol = f.symbol AND t.day = f.day AND t.i = f.top JOIN n l ON l.symbol = f.symbol AND l.day = f.day AND l.i = f.lo JOIN n h ON h.symbol = f.symbol AND h.day = f.day AND h.i = f.hi WHERE z = 1"""
 
 
-@register(_area_sql("SELECT symbol, CAST(ts AS DATE) AS day, CAST(round(close * 4) AS BIGINT) AS level, CAST(sum(volume) AS DOUBLE) AS volume FROM bars GROUP BY ALL", True))
+@register(area_sql("SELECT symbol, CAST(ts AS DATE) AS day, CAST(round(close * 4) AS BIGINT) AS level, CAST(sum(volume) AS DOUBLE) AS volume FROM bars GROUP BY ALL", True))
 def g07_daily_value_areas(spark, sf_dir):
     return rounded(P.daily_value_areas(P.volume_profile(_days(spark, sf_dir))), ["volume"])
 
 
 @register(f"""{BARS_SQL}, x AS (SELECT symbol, CAST(ts AS DATE) AS day, volume / (CAST(high * 4 AS BIGINT) - CAST(low * 4 AS BIGINT) + 1) AS v, unnest(range(CAST(low * 4 AS BIGINT), CAST(high * 4 AS BIGINT) + 1)) AS level FROM bars)
-SELECT symbol, day, level, round(sum(v), 4) AS volume FROM x GROUP BY ALL""")
+SELECT symbol, day, level, round(sum(v), 6) AS volume FROM x GROUP BY ALL""")
 def g08_tpo_profile(spark, sf_dir):
-    return rounded(P.tpo_profile(_days(spark, sf_dir)), ["volume"])
+    return P.tpo_profile(_days(spark, sf_dir))
 
 
 @register(f"""{BARS_SQL}, e AS (SELECT DATE '2024-01-05' AS d, 'NFP' AS kind UNION ALL SELECT DATE '2024-01-11', 'CPI' UNION ALL SELECT DATE '2024-01-31', 'FOMC') SELECT b.symbol, b.ts, coalesce(e.kind, 'none') AS kind FROM bars b LEFT JOIN e ON e.d = CAST(b.ts AS DATE)""")

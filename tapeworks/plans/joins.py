@@ -13,11 +13,11 @@ from .base import BARS_SQL, ONLY_TICKS, hour_bars, rounded
 
 
 @register("""SELECT o.o_orderkey, o.o_totalprice, l.l_linenumber, l.l_extendedprice FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
-WHERE o.o_orderstatus = 'F' AND l.l_discount IS NOT NULL AND l.l_quantity > 45""")
+WHERE l.l_discount IS NOT NULL AND o.o_totalprice IS NOT NULL""")
 def j01_inner(spark, sf_dir):
     """Features joined with labels on their key, nulls dropped; filters and columns reach the scans."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 45 and l_discount is not null").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    o = table(spark, sf_dir, "orders").where("o_totalprice is not null").select("o_orderkey", "o_totalprice")
+    li = table(spark, sf_dir, "lineitem").where("l_discount is not null").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_totalprice", "l_linenumber", "l_extendedprice")
 
 
