@@ -256,7 +256,7 @@ def weak_edges(features: DataFrame, perms: int = PERMS) -> DataFrame:
     w = Window.partitionBy("key")
     found = keys.withColumn("n", F.count("*").over(w)).where("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(SIGNATURES)).cast("int").alias("chunks")
-    members = found.select("key", "id", chunks).join(features.select("id", "sig"), "id")
+    members = found.select("key", "id", chunks).join(features.select("id", "sig").hint("merge"), "id")
     return in_blocks(members, ["sig"]).mapInArrow(_signature_trees(perms), f"a {kind}, b {kind}")
 
 
@@ -271,7 +271,7 @@ def classes(features: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     short = F.col("id") if kind == "bigint" else F.xxhash64("id")
     weak = connected(weak_edges(features.select(short.alias("id"), "bands", "sig"), perms))
     weak = weak.select(F.col("id").alias("_h"), F.col("component").alias("group"))
-    members = written(features.select("id", "n", short.alias("_h")).join(weak, "_h").select("id", "n", "group"), "groups")
+    members = written(features.select("id", "n", short.alias("_h")).join(weak.hint("merge"), "_h").select("id", "n", "group"), "groups")
     chunks = F.ceil(F.greatest(F.count("*") / F.lit(SETS), F.sum("n") / F.lit(SHINGLES))).cast("int")
     sizes = members.groupBy("group").agg(chunks.alias("chunks"))
     placed = members.join(sizes, "group").select("id", F.col("group").alias("key"), "chunks")
