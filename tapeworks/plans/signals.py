@@ -54,9 +54,10 @@ _signal("sg05_donchian_channel", "donchian_channel", f"""x AS (SELECT *, CASE WH
         + _final("u - l", "close > u OR close < l", _dir("close > u", "close < l"), "x", ", u AS upper, l AS lower, xu AS exit_upper, xl AS exit_lower"), ("upper", "lower", "exit_upper", "exit_lower"))
 
 _SESSION = "o AS (SELECT *, CAST(ts AS DATE) AS day, epoch(ts) / 60 % 1440 AS m, min(epoch(ts) / 60 % 1440) OVER (PARTITION BY symbol, CAST(ts AS DATE)) AS o FROM bars)"
-_signal("sg09_initial_balance", "initial_balance", f"""{_SESSION}, x AS (SELECT *, max(high) FILTER (m < o + 180) OVER d AS hi, min(low) FILTER (m < o + 180) OVER d AS lo, max(high) OVER r AS up, min(low) OVER r AS dn, m < o + 180 AS inside FROM o
+for _key, _n in (("sg09_initial_balance", 180), ("sg09_initial_balance_60", 60)):
+    _signal(_key, "initial_balance", f"""{_SESSION}, x AS (SELECT *, max(high) FILTER (m < o + {_n}) OVER d AS hi, min(low) FILTER (m < o + {_n}) OVER d AS lo, max(high) OVER r AS up, min(low) OVER r AS dn, m < o + {_n} AS inside FROM o
   WINDOW d AS (PARTITION BY symbol, day), r AS (PARTITION BY symbol, day ORDER BY ts)) """
-        + _final("CASE WHEN NOT inside THEN least(abs(close - hi), abs(close - lo)) END", "NOT inside AND up <= hi + 0.5 AND dn >= lo - 0.5 AND least(abs(close - hi), abs(close - lo)) <= 1.5", _dir("false", "NOT inside AND abs(close - hi) <= abs(close - lo)").replace(" END", " WHEN NOT inside THEN 'long' END"), "x"), minutes=180)
+            + _final("CASE WHEN NOT inside THEN least(abs(close - hi), abs(close - lo)) END", "NOT inside AND up <= hi + 0.5 AND dn >= lo - 0.5 AND least(abs(close - hi), abs(close - lo)) <= 1.5", _dir("false", "NOT inside AND abs(close - hi) <= abs(close - lo)").replace(" END", " WHEN NOT inside THEN 'long' END"), "x", ", CASE WHEN NOT inside THEN hi END AS ib_high, CASE WHEN NOT inside THEN lo END AS ib_low"), ("ib_high", "ib_low"), minutes=_n)
 
 _signal("sg12_mfi", "mfi", f"""t AS (SELECT *, (high + low + close) / 3 AS t, lag((high + low + close) / 3) OVER w AS p FROM bars WINDOW {_W}),
 u AS (SELECT *, CASE WHEN p IS NOT NULL THEN CASE WHEN t > p THEN t * volume ELSE 0 END END AS up, CASE WHEN p IS NOT NULL THEN CASE WHEN t < p THEN t * volume ELSE 0 END END AS dn FROM t),
@@ -73,15 +74,16 @@ _signal("sg17_prior_day_bias", "prior_day_bias", f"""d AS (SELECT symbol, CAST(t
 g AS (SELECT b.*, day, close - pv AS gap FROM bars b JOIN q ON q.symbol = b.symbol AND q.day = CAST(b.ts AS DATE)), a AS (SELECT *, CASE WHEN count(gap) OVER f >= 5 THEN avg(CASE WHEN gap > 0 THEN 1.0 WHEN gap <= 0 THEN 0.0 END) OVER f END AS above FROM g WINDOW f AS (PARTITION BY symbol, day ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) """
         + _final("gap / 0.25", "abs(gap) >= 0.5 AND ((gap > 0 AND above >= 0.6) OR (gap < 0 AND 1 - above >= 0.6))", _dir("abs(gap) >= 0.5 AND gap > 0 AND above >= 0.6", "abs(gap) >= 0.5 AND gap < 0 AND 1 - above >= 0.6"), "a"))
 
-_signal("sg18_prior_day_levels", "prior_day_levels", """d AS (SELECT symbol, CAST(ts AS DATE) AS day, max(high) AS h, min(low) AS l FROM bars GROUP BY ALL), q AS (SELECT symbol, day, lag(h) OVER w AS h, lag(l) OVER w AS l FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day)),
-x AS (SELECT b.symbol, ts, abs(close - h) AS dh, abs(close - l) AS dl FROM bars b JOIN q ON q.symbol = b.symbol AND q.day = CAST(b.ts AS DATE)) """ + _final("least(dh, dl)", "dh <= 1.5 OR dl <= 1.5", "CASE WHEN dh <= 1.5 THEN 'short' WHEN dl <= 1.5 THEN 'long' END", "x"))
+_signal("sg18_prior_day_levels", "prior_day_levels", """d AS (SELECT symbol, CAST(ts AS DATE) AS day, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c FROM bars GROUP BY ALL), q AS (SELECT symbol, day, lag(h) OVER w AS h, lag(l) OVER w AS l, lag(c) OVER w AS c FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+x AS (SELECT b.symbol, ts, abs(close - h) AS dh, abs(close - l) AS dl, h, l, c FROM bars b JOIN q ON q.symbol = b.symbol AND q.day = CAST(b.ts AS DATE)) """ + _final("least(dh, dl)", "dh <= 1.5 OR dl <= 1.5", "CASE WHEN dh <= 1.5 THEN 'short' WHEN dl <= 1.5 THEN 'long' END", "x", ", h AS pdh, l AS pdl, c AS pdc"), ("pdh", "pdl", "pdc"))
 
 _REL = f"x AS (SELECT *, coalesce(CASE WHEN count(*) OVER f >= 19 THEN volume / avg(volume) OVER f END, 1.0) AS v FROM bars WINDOW f AS {before(19)}) "
 _signal("sg20_relative_volume", "relative_volume", _REL + _final("v", "v >= 1.5", "NULL", "x"))
 _signal("sg27_volume_exhaustion", "volume_exhaustion", _REL + _final("v", "v < 0.4", _dir("sell_volume > buy_volume", "buy_volume > sell_volume"), "x"))
 
 _signal("sg22_session_time", "session_time", "x AS (SELECT *, ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS e FROM bars) " + _final("hour(e) * 60 + minute(e)", "true", "NULL", "x"))
-_signal("sg23_sma_trend", "sma_trend", f"x AS (SELECT *, CASE WHEN count(*) OVER f >= 50 THEN avg(close) OVER f END AS m FROM bars WINDOW f AS {frame(50)}) " + _final("100 * (close - m) / m", "true", _dir("100 * (close - m) / m > 0", "100 * (close - m) / m < 0"), "x"), n=50)
+for _key, _n in (("sg23_sma_trend", 50), ("sg23_sma_trend_200", 200)):
+    _signal(_key, "sma_trend", f"x AS (SELECT *, CASE WHEN count(*) OVER f >= {_n} THEN avg(close) OVER f END AS m FROM bars WINDOW f AS {frame(_n)}) " + _final("100 * (close - m) / m", "true", _dir("100 * (close - m) / m > 0", "100 * (close - m) / m < 0"), "x"), n=_n)
 _signal("sg24_spread", "spread", f"""p AS (SELECT *, avg_ask - avg_bid AS sp FROM bars WHERE avg_bid > -1e9), q AS (SELECT *, CASE WHEN avg_bid > 0 AND avg_ask > 0 THEN sp END AS s FROM p),
 x AS (SELECT *, CASE WHEN count(s) OVER f >= 30 THEN avg(s) OVER f END AS m, CASE WHEN count(s) OVER f >= 30 THEN stddev_samp(s) OVER f END AS sd FROM q WINDOW f AS {frame(500)}) """
         + _final("CASE WHEN sd > 1e-10 THEN (s - m) / sd WHEN sd IS NOT NULL THEN 0 END", "abs(CASE WHEN sd > 1e-10 THEN (s - m) / sd WHEN sd IS NOT NULL THEN 0 END) <= 2", "NULL", "x"))
@@ -127,10 +129,10 @@ def _wilder_sql(out: str, column: str, n: int, base: str) -> str:
 
 
 _recursive("sg01_atr", "atr", f"{_N}, {_TR}, {_wilder_sql('a', 'tr', 14, 't')}, j AS (SELECT n.symbol, n.ts, a.v FROM n JOIN a USING (symbol, i)) " + _final("v / 0.25", "true", "NULL", "j", ", round(v, 4) AS atr_raw"), ("atr_raw",))
-_recursive("sg06_ema_crossover", "ema_crossover", f"{_N}, {_ema_sql('close', 8, 'f')}, {_ema_sql('close', 21, 's')}, d AS (SELECT n.symbol, n.ts, f.v - s.v AS d FROM n JOIN f USING (symbol, i) JOIN s USING (symbol, i)), x AS (SELECT *, lag(d) OVER w AS b FROM d WINDOW {_W}) "
-           + _final("d", "(b <= 0 AND d > 0) OR (b >= 0 AND d < 0)", _dir("d > 0", "d < 0"), "x"))
+_recursive("sg06_ema_crossover", "ema_crossover", f"{_N}, {_ema_sql('close', 8, 'f')}, {_ema_sql('close', 21, 's')}, d AS (SELECT n.symbol, n.ts, f.v - s.v AS d, f.v AS fast FROM n JOIN f USING (symbol, i) JOIN s USING (symbol, i)), x AS (SELECT *, lag(d) OVER w AS b FROM d WINDOW {_W}) "
+           + _final("d", "(b <= 0 AND d > 0) OR (b >= 0 AND d < 0)", _dir("d > 0", "d < 0"), "x", ", round(fast, 4) AS fast"), ("fast",))
 _recursive("sg07_ema_ribbon", "ema_ribbon", f"{_N}, {_TR}, {_wilder_sql('a', 'tr', 14, 't')}, {', '.join(_ema_sql('close', k, f'e{k}') for k in (8, 13, 21, 34, 55))}, j AS (SELECT n.symbol, n.ts, n.close, a.v AS atr, e8.v AS a, e13.v AS b, e21.v AS c, e34.v AS d, e55.v AS e FROM n JOIN a USING (symbol, i) JOIN e8 USING (symbol, i) JOIN e13 USING (symbol, i) JOIN e21 USING (symbol, i) JOIN e34 USING (symbol, i) JOIN e55 USING (symbol, i)) "
-           + _final("a - e", "((a > b AND b > c AND c > d AND d > e) OR (a < b AND b < c AND c < d AND d < e)) AND least(abs(close - a), abs(close - b)) <= atr", _dir("a > b AND b > c AND c > d AND d > e", "a < b AND b < c AND c < d AND d < e"), "j"))
+           + _final("a - e", "((a > b AND b > c AND c > d AND d > e) OR (a < b AND b < c AND c < d AND d < e)) AND least(abs(close - a), abs(close - b)) <= atr", _dir("a > b AND b > c AND c > d AND d > e", "a < b AND b < c AND c < d AND d < e"), "j", ", round(a, 4) AS ema_8, round(c, 4) AS ema_21"), ("ema_8", "ema_21"))
 _recursive("sg21_rsi_momentum", "rsi_momentum", f"""{_N}, d AS (SELECT symbol, i - 1 AS i, ts, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS dn FROM n WHERE i > 1),
 s AS (SELECT symbol, 14 AS i, sum(up) / 14 AS u, sum(dn) / 14 AS w FROM d WHERE i <= 14 GROUP BY symbol HAVING count(*) = 14),
 r AS (SELECT symbol, CAST(i AS BIGINT) AS i, u, w FROM s UNION ALL SELECT d.symbol, d.i, (r.u * 13 + d.up) / 14, (r.w * 13 + d.dn) / 14 FROM r JOIN d ON d.symbol = r.symbol AND d.i = r.i + 1),

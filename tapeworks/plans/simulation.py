@@ -65,7 +65,7 @@ def _trades(spark, sf_dir, name: str):
 
 
 #: Signals that a strategy's SQL reads, by the query that states them.
-_SIGNAL_SQL = {"atr": "sg01_atr", "adx": "sg02_adx", "boll": "sg03_bollinger", "cvd": "sg04_cvd_divergence", "dc": "sg05_donchian_channel", "ema": "sg06_ema_crossover", "kc": "sg10_keltner_channel", "mfi": "sg12_mfi", "obv": "sg13_obv", "rvol": "sg20_relative_volume", "rsi": "sg21_rsi_momentum", "spread": "sg24_spread", "stoch": "sg25_stochastic", "bias": "sg29_vwap_bias", "vwap": "sg31_vwap_session"}
+_SIGNAL_SQL = {"atr": "sg01_atr", "adx": "sg02_adx", "boll": "sg03_bollinger", "cvd": "sg04_cvd_divergence", "ib": "sg09_initial_balance_60", "macd": "sg11_macd", "pd": "sg18_prior_day_levels", "rib": "sg07_ema_ribbon", "sma": "sg23_sma_trend_200", "dc": "sg05_donchian_channel", "ema": "sg06_ema_crossover", "kc": "sg10_keltner_channel", "mfi": "sg12_mfi", "obv": "sg13_obv", "rvol": "sg20_relative_volume", "rsi": "sg21_rsi_momentum", "spread": "sg24_spread", "stoch": "sg25_stochastic", "bias": "sg29_vwap_bias", "vwap": "sg31_vwap_session"}
 
 
 def _entry_sql(signals: str, ok: str, long: str, short: str, target: str, stop: str, cap: int = 3, before: str = "") -> str:
@@ -91,7 +91,18 @@ def _bracket_sql(target: float, stop: float) -> tuple[str, str]:
 
 def _strategy_sql() -> dict[str, str]:
     up, down = "direction = 'long'", "direction = 'short'"
+    low_wick = lambda x: f"CASE WHEN b.high > b.low THEN (least(b.open, b.close) - b.low) / (b.high - b.low) >= {x} END"
+    high_wick = lambda x: f"CASE WHEN b.high > b.low THEN (b.high - greatest(b.open, b.close)) / (b.high - b.low) >= {x} END"
+    day = "(PARTITION BY b.symbol, CAST(b.ts AS DATE) ORDER BY b.ts)"
+    gap = f"(first_value(b.open) OVER {day} - pd.pdc)"
+    ready = f"row_number() OVER {day} = 2 AND abs(100 * {gap} / pd.pdc) BETWEEN 0.1 AND 50"
     return {
+        "macd_zero_line": _entry_sql("atr adx rvol macd sma bias", "macd.passes AND adx.value > 20 AND rvol.value >= 0.8", f"macd.{up} AND sma.{up} AND bias.{up}", f"macd.{down} AND sma.{down} AND bias.{down}", *_bracket_sql(2.0, 1.0)),
+        "micro_pullback": _entry_sql("atr adx rvol ema sma", "adx.value > 25 AND rvol.value >= 1.0", f"ema.{up} AND NOT ema.passes AND b.low <= ema.fast + 0.5 AND b.close > b.open AND sma.direction <> 'short'", f"ema.{down} AND NOT ema.passes AND b.high >= ema.fast - 0.5 AND b.close < b.open AND sma.direction <> 'long'", *_bracket_sql(1.5, 1.0)),
+        "pdh_pdl_fade": _entry_sql("atr rvol pd rsi", "pd.passes AND rvol.value >= 0.5", f"pd.{up} AND {low_wick(0.6)} AND rsi.value < 45", f"pd.{down} AND {high_wick(0.6)} AND rsi.value > 55", "CAST(round_even((close + 0.25 * (pdc - close)) / 0.25, 0) AS DOUBLE) * 0.25", "close - side * 2.5", before=", pd.pdc AS pdc"),
+        "gap_fill": _entry_sql("atr adx pd", "adx.value < 25", f"{ready} AND {gap} < 0", f"{ready} AND {gap} > 0", "pdc", "close - side * greatest(least(0.75 * ib, 0.5 * abs(g)), 2.0)", 1, f", pd.pdc AS pdc, {gap} AS g, first_value(b.high - b.low) OVER {day} AS ib"),
+        "ib_fade": _entry_sql("atr adx rvol ib rsi", "ib.passes AND adx.value < 25 AND rvol.value >= 0.5", f"ib.{up} AND {low_wick(0.5)} AND rsi.value < 50", f"ib.{down} AND {high_wick(0.5)} AND rsi.value > 50", "mid", "close - side * 2.5", before=", (ib.ib_high + ib.ib_low) / 2 AS mid"),
+        "ema_ribbon_pullback": _entry_sql("atr adx rvol rib", "rib.passes AND adx.value > 22 AND rvol.value >= 0.7", f"rib.{up} AND lag(b.close - rib.ema_8) OVER o > 0 AND b.low <= rib.ema_8 AND b.close > rib.ema_21 AND b.close > b.open", f"rib.{down} AND lag(b.close - rib.ema_8) OVER o < 0 AND b.high >= rib.ema_8 AND b.close < rib.ema_21 AND b.close < b.open", "close + side * 1.5 * a", "slow - side * 0.5", before=", rib.ema_21 AS slow").replace("OVER o ", "OVER (PARTITION BY b.symbol ORDER BY b.ts) "),
         "vwap_band_reversion": _entry_sql("atr adx rvol vwap", "adx.value < 18 AND rvol.value >= 0.3", "vwap.value <= -2.5", "vwap.value >= 2.5", "v", "CASE WHEN side > 0 THEN least(close - a, low - 0.25) ELSE greatest(close + a, high + 0.25) END", before=", vwap.vwap AS v"),
         "stoch_bb_fade": _entry_sql("atr adx rvol stoch boll", "stoch.passes AND adx.value < 25 AND rvol.value >= 0.5", f"stoch.{up} AND b.close < boll.lower", f"stoch.{down} AND b.close > boll.upper", *_bracket_sql(1.5, 1.0)),
         "cvd_divergence": _entry_sql("atr adx cvd bias spread", "cvd.passes AND adx.value BETWEEN 15 AND 35 AND spread.value <= 0.5 AND NOT (spread.value = 0 AND NOT spread.passes)", f"cvd.{up} AND bias.{up}", f"cvd.{down} AND bias.{down}", *_bracket_sql(1.5, 1.0)),
