@@ -50,8 +50,9 @@ z AS (SELECT *, CASE WHEN count(sc) OVER f >= 2 THEN stddev_samp(sc) OVER f END
         + _final("CASE WHEN sd > 1e-10 THEN sc / sd END", "sign(sc) * sign(sp) < 0 AND abs(CASE WHEN sd > 1e-10 THEN sc / sd END) >= 1.5", _dir("sign(sc) * sign(sp) < 0 AND sc > 0", "sign(sc) * sign(sp) < 0"), "z"), digits=4)
 
 _signal("sg05_donchian_channel", "donchian_channel", f"""x AS (SELECT *, CASE WHEN count(*) OVER b >= 20 THEN max(high) OVER b END AS u, CASE WHEN count(*) OVER b >= 20 THEN min(low) OVER b END AS l,
-  CASE WHEN count(*) OVER c >= 10 THEN max(high) OVER c END AS xu, CASE WHEN count(*) OVER c >= 10 THEN min(low) OVER c END AS xl FROM bars WINDOW b AS {before(20)}, c AS {before(10)}) """
-        + _final("u - l", "close > u OR close < l", _dir("close > u", "close < l"), "x", ", u AS upper, l AS lower, xu AS exit_upper, xl AS exit_lower"), ("upper", "lower", "exit_upper", "exit_lower"))
+  CASE WHEN count(*) OVER c >= 10 THEN max(high) OVER c END AS xu, CASE WHEN count(*) OVER c >= 10 THEN min(low) OVER c END AS xl FROM bars WINDOW b AS {before(20)}, c AS {before(10)}),
+y AS (SELECT *, list(u - l) OVER f AS ws, count(u - l) OVER f AS n FROM x WINDOW f AS {frame(100)}) """
+        + _final("u - l", "close > u OR close < l", _dir("close > u", "close < l"), "y", ", u AS upper, l AS lower, xu AS exit_upper, xl AS exit_lower, round(CASE WHEN n >= 100 THEN 100.0::DOUBLE * len(list_filter(ws, lambda w: w < u - l)) / len(ws) END, 4) AS width_percentile"), ("upper", "lower", "exit_upper", "exit_lower", "width_percentile"))
 
 _SESSION = "o AS (SELECT *, CAST(ts AS DATE) AS day, epoch(ts) / 60 % 1440 AS m, min(epoch(ts) / 60 % 1440) OVER (PARTITION BY symbol, CAST(ts AS DATE)) AS o FROM bars)"
 for _key, _n in (("sg09_initial_balance", 180), ("sg09_initial_balance_60", 60)):

@@ -96,7 +96,10 @@ def _strategy_sql() -> dict[str, str]:
     day = "(PARTITION BY b.symbol, CAST(b.ts AS DATE) ORDER BY b.ts)"
     gap = f"(first_value(b.open) OVER {day} - pd.pdc)"
     ready = f"row_number() OVER {day} = 2 AND abs(100 * {gap} / pd.pdc) BETWEEN 0.1 AND 50"
+    tight = "coalesce(dc.width_percentile <= 10, false)"
+    released = f"sum(CASE WHEN {tight} THEN 1 ELSE 0 END) OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = 5 AND NOT {tight}"
     return {
+        "donchian_squeeze": _entry_sql("atr rvol macd dc", "dc.passes AND rvol.value >= 2.0", f"{released} AND dc.{up} AND macd.value > 0", f"{released} AND dc.{down} AND macd.value < 0", *_bracket_sql(5.0, 2.5)),
         "macd_zero_line": _entry_sql("atr adx rvol macd sma bias", "macd.passes AND adx.value > 20 AND rvol.value >= 0.8", f"macd.{up} AND sma.{up} AND bias.{up}", f"macd.{down} AND sma.{down} AND bias.{down}", *_bracket_sql(2.0, 1.0)),
         "micro_pullback": _entry_sql("atr adx rvol ema sma", "adx.value > 25 AND rvol.value >= 1.0", f"ema.{up} AND NOT ema.passes AND b.low <= ema.fast + 0.5 AND b.close > b.open AND sma.direction <> 'short'", f"ema.{down} AND NOT ema.passes AND b.high >= ema.fast - 0.5 AND b.close < b.open AND sma.direction <> 'long'", *_bracket_sql(1.5, 1.0)),
         "pdh_pdl_fade": _entry_sql("atr rvol pd rsi", "pd.passes AND rvol.value >= 0.5", f"pd.{up} AND {low_wick(0.6)} AND rsi.value < 45", f"pd.{down} AND {high_wick(0.6)} AND rsi.value > 55", "CAST(round_even((close + 0.25 * (pdc - close)) / 0.25, 0) AS DOUBLE) * 0.25", "close - side * 2.5", before=", pd.pdc AS pdc"),
