@@ -147,7 +147,7 @@ def obv(bars: DataFrame, n: int = 10) -> DataFrame:
     """Slope of on-balance volume."""
     df = _number(bars).withColumn("_pc", F.lag("close").over(ordered(BY)))
     step = F.when(F.col("close") > F.col("_pc"), F.col("volume")).when(F.col("close") < F.col("_pc"), -F.col("volume")).otherwise(0)
-    df = df.withColumn("_s", step).withColumn("_o", F.sum("_s").over(running(BY)).cast("double")).withColumn("_k", _slope("_o", n))
+    df = df.withColumn("_s", step).withColumn("_o", F.sum("_s").over(running(BY)).cast("double")).withColumn("_k", F.round(_slope("_o", n), 9))  # a flat line is flat, whatever the last bit
     return _drop(df.withColumn("obv", result(F.col("_k"), F.abs("_k") > 0, F.when(F.col("_k") > 0, "long").when(F.col("_k") < 0, "short"), obv=F.col("_o"))))
 
 
