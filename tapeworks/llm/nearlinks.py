@@ -62,7 +62,7 @@ def packed(mins: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Low bits of the minima, in 64-bit words: (sets, perms * bits / 64)."""
     low = (mins & np.uint32((1 << bits) - 1)).astype(np.uint64)
     per = 64 // bits
-    low = low.reshape(len(mins), -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(bits))
+    low = low.reshape(len(mins), mins.shape[1] // per, per) << (np.arange(per, dtype=np.uint64) * np.uint64(bits))
     return np.bitwise_or.reduce(low, axis=2)
 
 

@@ -48,6 +48,15 @@ def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_paragraphs", "n_repeated", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")
 
 
+def op5_passage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import dedup_passages
+    from .runs import dedup_runs
+
+    out = dedup_runs(dedup_passages(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    changed = (F.col("n_removed") > 0) | (F.col("n_words_removed") > 0)
+    return out.select("doc_id", "n_paragraphs", "n_repeated", "n_removed", "n_words_removed", changed.alias("changed"), "text")
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngramlm import score_documents
 
@@ -142,7 +151,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op5_passage_dedup, op6_lm_scores, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op5_passage_dedup, op5_passage_runs, op6_lm_scores, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:

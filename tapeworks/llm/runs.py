@@ -1,0 +1,164 @@
+"""Substring dedup: verbatim runs of words, wherever they begin and end in a text.
+
+Words are those of ``passages`` (line feeds are blanks like others).  A run of ``least``
+or more words that stands at an earlier place (smallest doc_id, null last, then hash of
+the text, then position) is taken out of all later places; the first place stays.  Where
+a run overlaps its own first place, what stands there stays.
+
+A run is a row of windows of ``least`` words.  Windows that occur once are most of them
+and are not listed: of the grams of half a window's length each window picks its smallest
+hash, so equal windows pick equal grams, and only windows around a picked gram that
+occurs twice are compared.  None is lost by that.  Words and windows are told apart by
+64-bit hashes.
+
+The blanks of a cut go with it, but a line feed on either side of it stays.  Null texts
+stay null.  Rows of the same doc_id and text are judged alike, as one document.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import WordHashes, bounded_batches, column, drop_path, extended, mixed, written
+from .neardup import words_of
+
+LEAST = 50
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_BASE = 0x9E6C63D0876A9A47
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words."""
+    if len(words) < k:
+        return np.empty(0, np.uint64)
+    up = np.full(len(words), _BASE, np.uint64)
+    up[0] = 1
+    down = np.full(len(words) - k + 1, _INVERSE, np.uint64)
+    down[0] = 1
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * np.cumprod(up), out=sums[1:])
+    return mixed((sums[k:] - sums[:-k]) * np.cumprod(down))
+
+
+def picked(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that the windows of ``least`` words pick."""
+    k = (least + 1) // 2
+    grams = _grams(words, k)
+    wide = least - k + 1
+    if len(grams) < wide:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    at = np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(grams) - wide + 1)
+    at = at[np.r_[True, at[1:] != at[:-1]]]
+    return at, grams[at]
+
+
+def around(at: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Starts of the windows in n words that hold a gram at one of the places."""
+    reach = least - (least + 1) // 2
+    starts = (np.asarray(at, np.int64)[:, None] - np.arange(reach + 1)).ravel()
+    return np.unique(starts[(starts >= 0) & (starts <= n - least)])
+
+
+def cut(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the words marked in ``gone``."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
+    out, done = [], 0
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        before = spans[a - 1][1] if a else 0
+        after = spans[b][0] if b < len(spans) else len(text)
+        lo, hi = spans[a][0], spans[b - 1][1]
+        if b == len(spans) or b"\n" in text[hi:after] and b"\n" not in text[before:lo] and a:
+            lo = before
+        else:
+            hi = after
+        out.append(text[done:lo])
+        done = hi
+    return b"".join(out) + text[done:]
+
+
+def _places(kind: str, docs: DataFrame, pick, columns: list[str]) -> DataFrame:
+    """Rows (h, doc_id, key, p) of what ``pick(hashes, row's values)`` gives for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            rows, ps, hs = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            rest = [b.column(c).to_pylist() for c in columns]
+            for r, text in enumerate(column(b, "text")):
+                p, h = pick(hashes.of(words_of(text)) if text else np.empty(0, np.uint64), *(x[r] for x in rest))
+                rows.append(np.full(len(p), r, np.int64))
+                ps.append(p)
+                hs.append(h)
+            take = pa.array(np.concatenate([np.empty(0, np.int64), *rows]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column("doc_id").take(take), b.column("key").take(take), pa.array(np.concatenate(ps).astype(np.int32))], names=["h", "doc_id", "key", "p"])
+
+    return docs.mapInArrow(run, f"h long, doc_id {kind}, key long, p int")
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """(h, at, first) of the places of hashes that occur at several."""
+    at = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key", "p").alias("at")
+    places = places.select("h", at)
+    several = places.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
+    return places.join(several.select("h", "first").hint("merge"), "h")
+
+
+def _by_document(found: DataFrame, value) -> DataFrame:
+    return found.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")).agg(F.collect_set(value).alias("_ps"))
+
+
+def dedup_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Every row of ``docs`` with ``text`` after removal and n_words_removed."""
+    if least < 2:
+        raise ValueError("a run has two words at least")
+    bounded_batches(docs.sparkSession)
+    keep = [c for c in docs.columns if c.lower() not in ("n_words_removed", "_key", "_id", "_ps")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+    def with_lists(left: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+        return left.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), how)
+
+    grams = written(_places(kind, own, lambda words: picked(words, least), []), "grams")
+    wanted = written(_by_document(_repeated(grams), F.col("at.p")), "wanted")
+    drop_path(docs.sparkSession, grams.table_path)
+
+    def windows(words: np.ndarray, ps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        starts = around(ps, len(words), least)
+        return starts, _grams(words, least)[starts]
+
+    listed = written(_places(kind, with_lists(own, wanted, "inner").select("doc_id", "key", "text", "_ps"), windows, ["_ps"]), "windows")
+    same = F.col("at.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at.key") == F.col("first.key"))
+    later = _repeated(listed).where(~F.col("at").eqNullSafe(F.col("first")))
+    span = F.struct(F.when(same, F.greatest(F.col("at.p"), F.col("first.p") + least)).otherwise(F.col("at.p")).alias("lo"), (F.col("at.p") + least).alias("hi"))
+    marked = written(_by_document(later, span), "spans")
+    for table in (wanted, listed):
+        drop_path(docs.sparkSession, table.table_path)
+    schema = extended(docs.schema, "n_words_removed long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, removed = [], []
+            for text, spans in zip(column(b, "text"), b.column("_ps").to_pylist(), strict=True):
+                n = 0
+                if spans:
+                    gone = np.zeros(len(words_of(text)), bool)
+                    for x in spans:
+                        gone[x["lo"] : x["hi"]] = True
+                    n = int(gone.sum())
+                    text = cut(text, gone)
+                texts.append(text)
+                removed.append(n)
+            out = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([out if c == "text" else b.column(c) for c in keep] + [pa.array(removed, pa.int64())], names=[*keep, "n_words_removed"])
+
+    return with_lists(docs, marked, "left").drop("_id", "_key").mapInArrow(run, schema)

@@ -1,0 +1,75 @@
+import random
+
+from tapeworks.llm.passages import dedup_passages
+from tapeworks.llm.queries import queries
+from tapeworks.llm.runs import dedup_runs
+
+from .data import words
+
+
+def removed(rows, least):
+    """Words left and number gone, by listing every window; rows of distinct documents in order of doc_id."""
+    first, out = {}, {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        gone = set()
+        for p in range(len(w) - least + 1):
+            at = first.setdefault(tuple(w[p : p + least]), (d, p))
+            if at != (d, p):
+                gone |= set(range(max(p, at[1] + least) if at[0] == d else p, p + least))
+        out[d] = ([x for i, x in enumerate((t or "").split()) if i not in gone], len(gone))
+    return out
+
+
+def check(spark, rows, least):
+    got = dedup_runs(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
+    assert len(got) == len(rows)
+    want = removed(rows, least)
+    for r in got:
+        assert ((r.text or "").split(), r.n_words_removed) == want[r.doc_id]
+        assert (r.text is None) == (dict(rows)[r.doc_id] is None)
+
+
+def test_brute_force(spark):
+    rng = random.Random(3)
+    shared = [words(rng, 30, 500) for _ in range(4)]
+    rows = [(0, None), (1, ""), (2, "a " * 40), (3, "a b " * 30)]
+    for d in range(4, 40):
+        w = words(rng, rng.randrange(60), 500)
+        for _ in range(rng.randrange(3)):
+            s, a = rng.choice(shared), rng.randrange(15)
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = s[a : a + rng.randrange(8, 30)]
+        rows.append((d, "".join(x + rng.choice((" ", " ", "\n", "  ")) for x in w)))
+    check(spark, rows, 12)
+    check(spark, rows, 7)
+
+
+def test_lines_that_the_paragraphs_miss(spark):
+    rng = random.Random(4)
+    run = words(rng, 60, 5000)
+    short = "\n".join(" ".join(run[i : i + 12]) for i in range(0, 60, 12))
+    own = [words(rng, 100, 5000) for _ in range(6)]
+    long = lambda k: " ".join([*own[k], *run, *own[k + 1]])
+    rows = [(1, f"{' '.join(own[0][:20])}\n{short}"), (2, f"head\n{short}\ntail"), (3, long(2)), (4, long(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in dedup_passages(docs).collect())
+    got = {r.doc_id: (r.text, r.n_words_removed) for r in dedup_runs(dedup_passages(docs)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("head\ntail", 60), 3: (" ".join([*own[2], *own[3]]), 60), 4: (" ".join([*own[4], *own[5]]), 60)}
+
+
+def test_null_ids_and_equal_rows(spark):
+    text = " ".join(map(str, range(80)))
+    rows = [(None, text), (5, text), (5, text), (7, f"x {text}\ny")]
+    got = dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_words_removed) for r in got) == [("5", text, 0), ("5", text, 0), ("7", "x\ny", 80), ("None", "", 80)]
+    assert dedup_runs(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_query(spark, sf):
+    lines = {r.doc_id: r for r in queries()["op5_passage_dedup"](spark, sf).collect()}
+    want = removed(sorted((d, r.text) for d, r in lines.items()), 50)
+    got = queries()["op5_passage_runs"](spark, sf).collect()
+    assert {r.doc_id: ((r.text or "").split(), r.n_words_removed) for r in got} == want
+    assert all((r.n_paragraphs, r.n_repeated, r.n_removed) == tuple(lines[r.doc_id][1:4]) for r in got)
+    assert sum(r.n_words_removed for r in got) > 0
