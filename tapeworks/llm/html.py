@@ -3,7 +3,10 @@
 A page is read into a tree of its block elements; inline elements only count as
 tags.  Elements that are never article text (menus, page headers and footers,
 sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts) are
-left out by element name, role, or a word of class or id.  For each node the
+left out by element name, role, or a word of class or id.  Inside an article or main
+element a word is not enough: the part goes if its text is mostly links or less than half
+as dense as the article, and inline elements other than links stay.  Where words leave
+nothing of a page they don't count.  For each node the
 composite density is
 
     C / T * log_b(C * T / (LC * LT)),  b = ln(C * LC / (C - LC) + LC_body * C / C_body + e)
@@ -13,7 +16,8 @@ with C characters, T tags, LC characters in links and LT link tags (each at leas
 density on the path from the body to it is the threshold: every node at or above it
 adds its own densest subtree, and the result is the smallest subtree below the
 body that holds them all, or just them where only the body does.  Three or more
-blocks in a row whose text is mostly links are a menu and left out.
+blocks in a row whose text is mostly links are a menu and left out; inside an article or
+main element only if no heading stands before them and they are short (``LABEL``).
 
 Character references are decoded, white space inside a block becomes one blank,
 blocks are trimmed and joined by one line feed.  A null or empty page gives an
@@ -56,11 +60,14 @@ _NOISE = frozenset("ad ads advert advertisement advertising adverts banner bread
 
 #: Prefixes of class words that tell about the page's layout, not of the element itself.
 _LAYOUT = ("has-", "with-", "no-", "is-", "without-")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of a block, on average, from which linked blocks inside an article are a list and not a menu.
+LABEL = 10
 _READERS = frozenset("comment comments disqus replies reply".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "text", "link", "tags", "link_tags", "chars", "link_chars", "density", "best", "most")
+    __slots__ = ("name", "parent", "children", "text", "link", "tags", "link_tags", "chars", "link_chars", "density", "best", "most", "inside", "doubt")
 
     def __init__(self, name: str, parent: Node | None) -> None:
         self.name, self.parent = name, parent
@@ -69,6 +76,8 @@ class Node:
         self.chars = self.link_chars = 0
         self.density = 0.0
         self.best, self.most = self, -1.0
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
+        self.doubt = False  # inside an article, with a class word of what is left out
 
 
 def _noise(name: str, attrs: str, inside: bool) -> str:
@@ -93,8 +102,8 @@ def _noise(name: str, attrs: str, inside: bool) -> str:
     return ""
 
 
-def parse(html: str) -> Node:
-    """The tree of blocks below a body node."""
+def parse(html: str, by_words: bool = True) -> Node:
+    """The tree of blocks below a body node; by_words: class words leave elements out."""
     body = node = Node("body", None)
     skip: list[str] = []  # open elements inside one that is left out
     reason, began, wanted, seen = "", 0, -1, False  # why and where that began; where one must stay; an article was seen
@@ -169,13 +178,10 @@ def parse(html: str) -> Node:
                         node = up.parent
                         break
                     up = up.parent
-        inside = False
-        if name == "header":
-            up = node
-            while up is not None and not inside:
-                inside, up = up.name in ("article", "main"), up.parent
+        inside = node.inside
         reason = _noise(name, m[3], inside) if m.start() != wanted else ""
-        if reason:
+        doubt = reason == "words" and inside and name != "a"  # judged when all is counted
+        if reason and not doubt and (by_words or reason != "words"):
             if name not in _VOID and not m[3].endswith("/"):
                 skip.append(name)
                 began = m.start()
@@ -183,6 +189,7 @@ def parse(html: str) -> Node:
         seen |= name in ("article", "main")
         if name in _BLOCKS and name not in _VOID:
             child = Node(name, node)
+            child.doubt = doubt
             node.children.append(child)
             node = child
         elif name == "hr":
@@ -215,6 +222,36 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _density(n: Node, ratio: float) -> float:
+    c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - n.link_chars) * lc + ratio * c + math.e)
+    return max(0.0, c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9) / max(1e-9, math.log(max(base, 1.0 + 1e-9) + 1e-9)))
+
+
+def _settle(doubted: list[Node], body: Node) -> None:
+    """Take out parts of an article that a class word and their links or thin text both mark; parents come first."""
+    ratio = body.link_chars / max(1, body.chars)
+    gone: set[int] = set()
+    for n in doubted:
+        up, top = n.parent, None
+        while up is not None and id(up) not in gone:
+            top = up if up.name in ("article", "main") else top
+            up = up.parent
+        if up is not None or 2 * n.link_chars <= n.chars and 2 * _density(n, ratio) >= _density(top, ratio):
+            continue
+        gone.add(id(n))
+        n.parent.children.remove(n)
+        up = n.parent
+        while up is not None:
+            up.chars -= n.chars
+            up.link_chars -= n.link_chars
+            up.tags -= n.tags
+            up.link_tags -= n.link_tags
+            up = up.parent
+
+
 def measure(body: Node) -> list[Node]:
     """Counts and densities of all nodes; the nodes in an order with parents first."""
     nodes = _order(body)
@@ -229,12 +266,12 @@ def measure(body: Node) -> list[Node]:
                 k = len(_SPACE.sub("", c[0]))
                 n.chars += k
                 n.link_chars += k * c[1]
+    if doubted := [n for n in nodes if n.doubt]:
+        _settle(doubted, body)
+        nodes = _order(body)
     ratio = body.link_chars / max(1, body.chars)
     for n in nodes:
-        c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
-        if c:
-            base = math.log(c / max(1, c - n.link_chars) * lc + ratio * c + math.e)
-            n.density = max(0.0, c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9) / max(1e-9, math.log(max(base, 1.0 + 1e-9) + 1e-9)))
+        n.density = _density(n, ratio)
     # Sums of children's densities, upwards: each node knows the densest subtree at or below it.
     for n in reversed(nodes):
         kids = _children(n)
@@ -298,19 +335,29 @@ def blocks(root: Node) -> Iterator[str]:
     todo: list = [root]
     run: list = []
     linked: list[str] = []  # the last blocks, as far as they are mostly links
+    place, before = root, ""  # where the run stands; the element of the last block that is not linked
+    within = titled = False  # the linked ones began inside an article; there under a heading
+
+    def menu() -> bool:
+        return len(linked) >= 3 and not titled and not (within and sum(map(len, linked)) >= LABEL * len(linked))
 
     def flush() -> Iterator[str]:
+        nonlocal before, within, titled
         text = _SPACE.sub(" ", unescape("".join(x for x, _ in run))).strip() if run else ""
         links = sum(len(x.strip()) for x, a in run if a)
         total = sum(len(x.strip()) for x, _ in run)
         run.clear()
         if text and 2 * links > total:
+            if not linked:
+                within = place.inside
+                titled = within and before in _HEADINGS
             linked.append(text)
         elif text:
-            if len(linked) < 3:
+            if not menu():
                 yield from linked
             linked.clear()
             yield text
+            before = place.name
 
     while todo:
         c = todo.pop()
@@ -319,10 +366,13 @@ def blocks(root: Node) -> Iterator[str]:
             continue
         yield from flush()
         if isinstance(c, Node):
-            todo.append(None)
+            todo.append([c.parent or c])
             todo += reversed(c.children)
+            place = c
+        else:
+            place = c[0]
     yield from flush()
-    if len(linked) < 3:
+    if not menu():
         yield from linked
 
 
@@ -332,6 +382,9 @@ def main_text(html: str | None) -> str:
         return ""
     body = parse(html)
     measure(body)
+    if not body.chars:
+        body = parse(html, by_words=False)
+        measure(body)
     if not body.chars:
         return ""
     return "\n".join(t for n in content(body) for t in blocks(n))
