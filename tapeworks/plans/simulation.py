@@ -148,6 +148,19 @@ def b08_strategy_trades(spark, sf_dir):
     return rounded(_trades(spark, sf_dir, "donchian_breakout_trend"), ["entry", "exit", "gross", "costs", "pnl"])
 
 
+def _strategy_trades(name: str) -> None:
+    def query(spark, sf_dir):
+        return rounded(_trades(spark, sf_dir, name), ["entry", "exit", "gross", "costs", "pnl"])
+
+    query.__doc__ = f"Trades of {name} with its own exits."
+    register(name=f"b08_{name}")(query)
+
+
+for _name in S.REGISTRY:
+    if _name != "donchian_breakout_trend":
+        _strategy_trades(_name)
+
+
 @register()
 def b11_risk_path(spark, sf_dir):
     """Position, realised P&L and halt after each fill, anew each day."""
