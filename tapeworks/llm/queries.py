@@ -45,16 +45,7 @@ def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import dedup_passages
 
     out = dedup_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_paragraphs", "n_repeated", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")
-
-
-def op5_passage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .passages import dedup_passages
-    from .runs import dedup_runs
-
-    out = dedup_runs(dedup_passages(_read(spark, sf_dir, "documents").select("doc_id", "text")))
-    changed = (F.col("n_removed") > 0) | (F.col("n_words_removed") > 0)
-    return out.select("doc_id", "n_paragraphs", "n_repeated", "n_removed", "n_words_removed", changed.alias("changed"), "text")
+    return out.select("doc_id", "n_words", "n_repeated", "n_removed", "n_words_removed", (F.col("n_removed") > 0).alias("changed"), "text")
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +118,6 @@ WITH RECURSIVE texts AS (SELECT doc_id AS id, text FROM documents), {_LINKED}
 SELECT t.id AS doc_id, coalesce(sz.n, 0) AS n_shingles, coalesce(comp.component, t.id) AS component_id, t.id = coalesce(comp.component, t.id) AS kept
 FROM texts t LEFT JOIN sz ON sz.id = t.id LEFT JOIN comp ON comp.id = t.id"""
 
-_OP5_SQL = f"""
-WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents WHERE text IS NOT NULL),
-texts AS (SELECT doc_id * 1000000 + p AS id, x AS text FROM lines WHERE len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) >= 40), {_LINKED},
-para AS (SELECT id // 1000000 AS doc_id, id % 1000000 AS p, c.component IS NOT NULL AS repeated, coalesce(c.component, id) <> id AS gone FROM texts LEFT JOIN comp c USING (id)),
-made AS (SELECT l.doc_id, count(para.p) AS n_paragraphs, count(*) FILTER (para.repeated) AS n_repeated, count(*) FILTER (para.gone) AS n_removed,
-  string_agg(l.x, chr(10) ORDER BY l.p) FILTER (NOT coalesce(para.gone, false)) AS t FROM lines l LEFT JOIN para ON para.doc_id = l.doc_id AND para.p = l.p GROUP BY l.doc_id)
-SELECT d.doc_id, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed, 0) > 0 AS changed, CASE WHEN d.text IS NOT NULL THEN coalesce(made.t, '') END AS text
-FROM documents d LEFT JOIN made USING (doc_id)"""
-
 _OP7_SQL = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -151,10 +133,10 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op5_passage_dedup, op5_passage_runs, op6_lm_scores, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_near_duplicates, op3_quality_rules, op4_html_text, op5_passage_dedup, op6_lm_scores, op7_decontamination, op8_line_dedup, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .linededup import ORACLE_SQL
 
-    return {"op2_near_duplicates": _OP2_SQL, "op5_passage_dedup": _OP5_SQL, "op7_decontamination": _OP7_SQL, "op8_line_dedup": ORACLE_SQL, "op10_url_filters": _op10_sql()}
+    return {"op2_near_duplicates": _OP2_SQL, "op7_decontamination": _OP7_SQL, "op8_line_dedup": ORACLE_SQL, "op10_url_filters": _op10_sql()}
