@@ -20,14 +20,37 @@ def test_tree_is_whole(leaf):
     rng = random.Random(leaf)
     for _ in range(400):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(60)))
-        ids = bpe.tree_encode(text, whole, leaf)
+        tree = bpe.Tree(bpe.encoding(PATH, P.PATTERN), leaf, 1 + leaf // 4)
+        ids = tree.encode(text)
         assert ids == whole(text), repr(text)
-        assert bpe.tree_decode(ids, bpe.encoding(PATH, P.PATTERN).decode_bytes, leaf) == text.encode()
+        assert tree.decode(ids) == text.encode()
 
 
-@pytest.mark.parametrize("text", ["x" * 5000, " " * 5000, "a b" * 3000, "日本語" * 2000, "!" * 999 + " "])
+@pytest.mark.parametrize("text", ["x" * 5000, " " * 5000, "a b" * 3000, "日本語" * 2000, "!" * 999 + " ", "'stuff" * 900, "7" * 4000])
 def test_long_runs(text):
-    assert bpe.tree_encode(text, whole, 64) == whole(text)
+    assert bpe.Tree(bpe.encoding(PATH, P.PATTERN), 64, 16).encode(text) == whole(text)
+
+
+@pytest.mark.parametrize("letters", ["etaoinshr", "日本語文字列漢的一是不了人", "абвгдеж"])
+def test_bounded_windows_without_blanks(letters):
+    rng = random.Random(7)
+    text = "".join(rng.choice(letters) for _ in range(20_000))
+    tree = bpe.Tree(bpe.encoding(PATH, P.PATTERN))
+    assert tree.encode(text) == whole(text)
+    assert tree.joins >= 64 and tree.widest <= 512
+
+
+def test_most_documents_have_joins(spark, sf):
+    tree, joined, rows = bpe.Tree(bpe.encoding(PATH, P.PATTERN)), 0, spark.read.parquet(f"{sf}/documents.parquet").collect()
+    for r in rows:
+        tree.joins = 0
+        tree.encode(r.text or "")
+        joined += tree.joins > 0
+    assert joined > 0.8 * len(rows)
+
+
+def test_empty_table(spark):
+    assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).collect() == []
 
 
 def test_operator(spark):
