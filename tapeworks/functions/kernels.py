@@ -81,38 +81,40 @@ def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> tu
     return out[0], out[1], out[2]
 
 
-def cusum(x: np.ndarray, drift: float, limit: float, memory: float = 0.01) -> np.ndarray:
+def cusum(x: np.ndarray, drift: float, limit: float, memory: float = 0.02) -> np.ndarray:
     """Two-sided cumulative sums about a slow mean; true where either passes the limit, which restarts both."""
     out = np.zeros(len(x), bool)
     mean = up = down = 0.0
     for i, v in enumerate(x):
-        d = v - mean
-        up, down = max(0.0, up + d - drift), max(0.0, down - d - drift)
+        mean += min(1.0 / (i + 1), memory) * (v - mean)
+        up, down = max(0.0, up + v - mean - drift), max(0.0, down - v + mean - drift)
         if up > limit or down > limit:
             out[i], up, down = True, 0.0, 0.0
-        mean += memory * d
     return out
 
 
-def bocpd(x: np.ndarray, hazard: float = 60.0, longest: int = 300, drop: float = 0.3) -> np.ndarray:
-    """Online change points of a normal-inverse-gamma model: where the likeliest run length falls by more than ``drop``."""
+def bocpd(x: np.ndarray, hazard: float = 60.0, longest: int = 300, drop: float = 0.3, beta0: float = 0.01) -> np.ndarray:
+    """Online change points of a normal-inverse-gamma model: where the likeliest run length falls by more than ``drop``.
+
+    A run that begins with an observation has seen it.
+    """
     from math import lgamma
 
     out = np.zeros(len(x), bool)
-    mu, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, 1.0))
+    mu, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, beta0))
     p = np.array([1.0])
+    gammas = np.array([lgamma(a + 0.5) - lgamma(a) for a in 1.0 + np.arange(longest + 2) / 2])  # alpha is 1, 1.5, ...
     best = 0
     for i, v in enumerate(x):
         scale = beta * (kappa + 1) / (alpha * kappa)
         free = 2 * alpha
-        lg = np.array([lgamma((f + 1) / 2) - lgamma(f / 2) for f in free])
-        like = np.exp(lg - 0.5 * np.log(free * np.pi * scale) - (free + 1) / 2 * np.log1p((v - mu) ** 2 / (free * scale)))
-        grow, change = p * like * (1 - 1 / hazard), (p * like / hazard).sum()
-        p = np.r_[change, grow][:longest]
+        like = np.exp(gammas[(2 * (alpha - 1)).astype(int)] - 0.5 * np.log(free * np.pi * scale) - (free + 1) / 2 * np.log1p((v - mu) ** 2 / (free * scale)))
+        p = np.r_[(p * like / hazard).sum(), p * like * (1 - 1 / hazard)][: longest + 1]
         p = p / max(p.sum(), 1e-300)
-        beta = np.r_[1.0, beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))][:longest]
-        mu = np.r_[0.0, (kappa * mu + v) / (kappa + 1)][:longest]
-        kappa, alpha = np.r_[1.0, kappa + 1][:longest], np.r_[1.0, alpha + 0.5][:longest]
+        mu, kappa, alpha, beta = (np.r_[first, y][: longest + 1] for first, y in ((0.0, mu), (1.0, kappa), (1.0, alpha), (beta0, beta)))
+        beta = beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))
+        mu = (kappa * mu + v) / (kappa + 1)
+        kappa, alpha = kappa + 1, np.minimum(alpha + 0.5, 1.0 + longest / 2)
         run = int(p.argmax())
         out[i] = best > 5 and run < best * (1 - drop)
         best = run

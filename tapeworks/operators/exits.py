@@ -50,14 +50,14 @@ def _static_stop(atr_multiple: float = 1.0) -> Check:
     return lambda p, b: "stop:static_stop" if p.side * (p.fill - _adverse(p, b)) >= atr_multiple * p.atr > 0 else None
 
 
-def _trailing_stop(atr_multiplier: float = 1.2, activation_ticks: float = 4, activation_atr: float | None = None) -> Check:
+def _trailing_stop(atr_multiple: float = 1.2, activate_after_ticks: float = 4, activate_after_atr: float | None = None) -> Check:
     def check(p: Position, b: dict) -> str | None:
-        need = activation_atr * p.atr if activation_atr is not None else activation_ticks * TICK
+        need = activate_after_atr * p.atr if activate_after_atr is not None else activate_after_ticks * TICK
         if p.side * (b["close"] - p.fill) < need:
             return None
         best = _favourable(p, b)
         p.peak = best if not p.peak else max(p.peak, best) if p.side > 0 else min(p.peak, best)
-        return "stop:trailing" if p.side * (p.peak - b["close"]) >= atr_multiplier * p.atr else None
+        return "stop:trailing" if p.side * (p.peak - b["close"]) >= atr_multiple * p.atr else None
 
     return check
 
@@ -66,10 +66,10 @@ def _time_stop(max_bars: int = 12) -> Check:
     return lambda p, b: "stop:time" if p.bars >= max_bars else None
 
 
-def _vwap_target(sd_band: float = 0.5) -> Check:
+def _vwap_target(target_sd_band: float = 0.5, vwap_signal: str = "vwap_session") -> Check:
     def check(p: Position, b: dict) -> str | None:
-        sd = b.get("vwap_session.sd") or 0.0
-        return "tp:reversion_target" if sd > 0 and abs((_favourable(p, b) - b["vwap_session.vwap"]) / sd) <= sd_band else None
+        sd, vwap = b.get(f"{vwap_signal}.sd") or 0.0, b.get(f"{vwap_signal}.vwap") or 0.0
+        return "tp:reversion_target" if sd > 0 and vwap and abs((_favourable(p, b) - vwap) / sd) <= target_sd_band else None
 
     return check
 
@@ -88,12 +88,13 @@ def _adverse_signal(signal: str, field: str | None = None, long_threshold: float
     return check
 
 
-def _regime(exit_on_regime: list, min_bars: int = 1, signal: str = "regime_v2") -> Check:
-    return lambda p, b: "early:regime_flip" if p.bars >= min_bars and b.get(f"{signal}.value") in exit_on_regime else None
+def _regime(hostile_regimes_long: list = (), hostile_regimes_short: list = (), min_bars_before_active: int = 2, hmm_signal: str = "hmm_regime") -> Check:
+    hostile = {1: set(hostile_regimes_long), -1: set(hostile_regimes_short)}
+    return lambda p, b: "early:regime_flip" if p.bars >= min_bars_before_active and b.get(f"{hmm_signal}.value") in hostile[p.side] else None
 
 
-def _volatility(atr_multiple: float = 1.8, min_bars: int = 3) -> Check:
-    return lambda p, b: "early:vol_expansion" if p.bars >= min_bars and (b.get("atr.atr_raw") or 0.0) > atr_multiple * p.atr > 0 else None
+def _volatility(expansion_multiple: float = 1.8, min_bars_before_active: int = 3, atr_signal: str = "atr") -> Check:
+    return lambda p, b: "early:vol_expansion" if p.bars >= min_bars_before_active and (b.get(f"{atr_signal}.atr_raw") or 0.0) > expansion_multiple * p.atr > 0 else None
 
 
 def _bracket_target() -> Check:
@@ -170,10 +171,29 @@ def compile_exits(rules: list[dict]) -> Check:
     return first
 
 
+def exit_price(rules: list[dict], why: str, p: Position, bar: dict) -> tuple[float, str, bool]:
+    """(price, reason, whether at market) of an exit: stops and targets fill at their own price, all else at the close."""
+    rule = next((r for r in rules if r["type"] == {"tp:reversion_target": "vwap_reversion_target"}.get(why, why.split(":")[1])), {})
+    k = rule.get("atr_multiple", 1.5 if why == "tp:static_target" else 1.0)
+    if why == "tp:static_target":
+        return p.fill + p.side * k * p.atr, "target", False
+    if why == "tp:bracket_target":
+        return p.target, "target", False
+    if why == "tp:reversion_target":
+        name = rule.get("vwap_signal", "vwap_session")
+        return bar[f"{name}.vwap"] - p.side * rule.get("target_sd_band", 0.5) * bar[f"{name}.sd"], "target", False
+    if why == "stop:static_stop":
+        return p.fill - p.side * k * p.atr, why, True
+    if why == "stop:bracket_stop":
+        return p.stop, why, True
+    return bar["close"], why, True
+
+
 def needed_signals(rules: list[dict]) -> set[str]:
     """Signals that a list of rules reads."""
-    fixed = {"vwap_reversion_target": "vwap_session", "volatility_expansion_exit": "atr", "regime_exit": "regime_v2"}
-    return {r.get("signal") or fixed[r["type"]] for r in rules if r.get("enabled", True) and ("signal" in r or r["type"] in fixed)}
+    fixed = {"vwap_reversion_target": ("vwap_signal", "vwap_session"), "volatility_expansion_exit": ("atr_signal", "atr"), "regime_exit": ("hmm_signal", "hmm_regime")}
+    used = [r for r in rules if r.get("enabled", True)]
+    return {r["signal"] for r in used if "signal" in r} | {r.get(*fixed[r["type"]]) for r in used if r["type"] in fixed}
 
 
 def bracket_prices(rules: list[dict], side: int, fill: float, atr: float) -> tuple[float, float]:

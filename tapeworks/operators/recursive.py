@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as K
+from ..functions import regimes as M
 from ..functions.windows import last_n, ordered, percent_rank_below, rolling
 from .signals import BY, TICK, _drop, _session_open, result, signal, with_day
 
@@ -164,36 +165,42 @@ def value_area(bars: DataFrame, near: float = 2.0) -> DataFrame:
 
 
 @signal("hmm_regime")
-def hmm_regime(bars: DataFrame, states: int = 3, rounds: int = 10) -> DataFrame:
-    """State of a hidden Markov model of return and range, filtered forward only; passes outside the wildest state."""
+def hmm_regime(bars: DataFrame, states: int = 3, rounds: int = 10, fit_bars: int = 200) -> DataFrame:
+    """State of a hidden Markov model of return and range, fitted and scaled on a symbol's first bars and filtered forward after them.
+
+    Passes outside the wildest state; null, and passing, before the model is there.
+    """
 
     def f(a: dict) -> dict:
         c = np.maximum(a["close"], 1e-9)
         x = np.column_stack([np.r_[0.0, np.diff(np.log(c))], np.log1p((a["high"] - a["low"]) / c)])
-        x = (x - x.mean(0)) / (x.std(0) + 1e-9)
-        if len(x) < 10 * states:
-            return {"_s": np.full(len(x), np.nan), "_p": np.full(len(x), np.nan)}
-        order = np.argsort(x[:, 1], kind="stable")
-        means = np.array([x[part].mean(0) for part in np.array_split(order, states)])
-        mu, var, start, move = K.fit_hmm(x, means, rounds)
-        p = K.forward(K.gaussian_log_like(x, mu, var), start, move)
+        out = {"_s": np.full(len(x), np.nan), "_p": np.full(len(x), np.nan)}
+        if len(x) <= fit_bars:
+            return out
+        x = (x - x[:fit_bars].mean(0)) / (x[:fit_bars].std(0) + 1e-9)
+        seen = x[:fit_bars]
+        order = np.argsort(seen[:, 1], kind="stable")
+        mu, var, start, move = K.fit_hmm(seen, np.array([seen[part].mean(0) for part in np.array_split(order, states)]), rounds)
+        p = K.forward(K.gaussian_log_like(x, mu, var), start, move)[fit_bars:]
         rank = np.argsort(np.argsort(mu[:, 1]))
-        return {"_s": rank[p.argmax(1)].astype(float), "_p": p.max(1)}
+        out["_s"][fit_bars:], out["_p"][fit_bars:] = rank[p.argmax(1)].astype(float), p.max(1)
+        return out
 
     df = series(bars, ["high", "low", "close"], ["_s", "_p"], f)
     return _drop(df.withColumn("hmm_regime", result(F.col("_s"), F.coalesce(F.col("_s") < states - 1, F.lit(True)), confidence=F.col("_p"))))
 
 
 @signal("regime_v2")
-def regime_v2(bars: DataFrame, enter: float = 0.65, leave: float = 0.45) -> DataFrame:
-    """Regime with hysteresis, position size and a halt after many flips; the bar before's state is used."""
-    df = hmm_regime(bars)
-    df = df.withColumn("_s", F.coalesce(F.lag(F.col("hmm_regime.value")).over(ordered(BY)), F.lit(0.0))).withColumn("_p", F.coalesce(F.lag(F.col("hmm_regime.confidence")).over(ordered(BY)), F.lit(0.0)))
-    df = df.withColumn("_b", F.lag("_s").over(ordered(BY))).withColumn("_flip", F.when(F.col("_s") != F.col("_b"), 1).otherwise(0)).withColumn("_n", F.sum("_flip").over(last_n(BY, 20)))
-    size = F.when(F.col("_p") >= enter, "full").when(F.col("_p") >= leave, "half").otherwise("flat")
-    halt = F.col("_n") > 2
-    kept = [c for c in bars.columns]
-    return df.withColumn("regime_v2", result(F.col("_s"), ~halt & (size != "flat"), confidence=F.col("_p"), position_size=size, whipsaw_halt=halt)).select(*kept, "regime_v2")
+def regime_v2(bars: DataFrame, fit_rows: int = 100, cfg: M.Config | None = None) -> DataFrame:
+    """Regime in force at the bar before, its probabilities, position size and halt; passes unless halted or flat."""
+    cfg = cfg or M.Config().small()
+    made = [f"_{c}" for c in M.OUT]
+    df = series(bars, ["open", "high", "low", "close", "volume"], made, lambda a: dict(zip(made, M.detected(a, cfg, fit_rows).T, strict=True)))
+    warm = {"_regime": float(M.RANGING), "_halt": 1.0}
+    df = df.withColumns({c: F.coalesce(F.lag(c).over(ordered(BY)), F.lit(warm.get(c, 0.0))) for c in made})
+    size = F.when(F.col("_size") == 1.0, "full").when(F.col("_size") == 0.5, "half").otherwise("flat")
+    p = {c[1:]: F.col(c) for c in ("_p_trending", "_p_ranging", "_p_highvol")}
+    return _drop(df.withColumn("regime_v2", result(F.col("_regime"), (F.col("_halt") == 0) & (F.col("_size") > 0), confidence=F.col("_confidence"), **p, position_size=size, whipsaw_halt=F.col("_halt") > 0)))
 
 
 def regime_features(bars: DataFrame, span: int = 50, z: int = 500, limit: float = 3.0) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exits import TICK, Position, compile_exits
+from .exits import TICK, Position, compile_exits, exit_price
 
 POINT_VALUE, COMMISSION = 5.0, 0.35
 TRADES = "entry_ts timestamp_ntz, exit_ts timestamp_ntz, side int, entry double, exit double, reason string, bars int, gross double, costs double, pnl double"
@@ -41,6 +41,7 @@ class Book:
 
     def __init__(self, exits: list[dict] | None, max_position: int, expiry: int) -> None:
         self.first_exit = compile_exits(exits) if exits is not None else None
+        self.rules = [r for r in exits or [] if r.get("enabled", True)]
         self.max_position, self.expiry = max_position, expiry
         self.orders: list[dict] = []
         self.open: list[tuple[dict, Position]] = []
@@ -63,13 +64,8 @@ class Book:
             why = self.first_exit(p, b)
             if why is None:
                 return False
-            if why.startswith("tp:") and why != "tp:reversion_target":
-                price = p.target if why == "tp:bracket_target" else (b["high"] if p.side > 0 else b["low"])
-                self._close(o, p, price, b["ts"], "target", False, b["slip"])
-            elif why == "stop:bracket_stop":
-                self._close(o, p, p.stop, b["ts"], why, True, b["slip"])
-            else:
-                self._close(o, p, b["close"], b["ts"], why, True, b["slip"])
+            price, reason, market = exit_price(self.rules, why, p, b)
+            self._close(o, p, price, b["ts"], reason, market, b["slip"])
             return True
         adverse, best = (b["low"], b["high"]) if p.side > 0 else (b["high"], b["low"])
         if p.side * (p.stop - adverse) >= 0:

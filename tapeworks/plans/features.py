@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import features as X
+from ..operators import predictor as P
 from ..operators.recursive import regime_features
 from ..sources.tape import table, ticks
 from .base import BARS_SQL, ONLY_TICKS, hour_bars, rounded
@@ -51,12 +52,75 @@ def q05_bar_features(spark, sf_dir):
 
 
 @register()
-def q07_all_features(spark, sf_dir):
-    """All features of bars, rounded."""
+def q05_all_bar_features(spark, sf_dir):
+    """The engine's own features of bars, rounded."""
     out = X.bar_features(hour_bars(spark, sf_dir)).select("symbol", "ts", *X.BAR_FEATURES)
     return rounded(out, X.BAR_FEATURES)
 
 
+_L1_SQL = f"""{ONLY_TICKS}, d AS (SELECT *, 1 + (user_id * 7) % 40 AS ask_size, px - lag(px) OVER (PARTITION BY symbol ORDER BY ts) AS dpx, median(size) OVER (PARTITION BY symbol, date_trunc('hour', ts)) AS m FROM ticks),
+bars AS (SELECT symbol, date_trunc('hour', ts) AS ts, CAST(arg_min(px, ts) AS DOUBLE) / 4 AS open, max(px) / 4.0::DOUBLE AS high, min(px) / 4.0::DOUBLE AS low, CAST(arg_max(px, ts) AS DOUBLE) / 4 AS close, CAST(sum(size) AS BIGINT) AS volume, CAST(sum(px * size) AS DOUBLE) / (4.0::DOUBLE * sum(size)) AS vwap,
+  CAST(sum(CASE WHEN side = 'B' THEN size ELSE 0 END) AS BIGINT) AS buy_volume, CAST(sum(CASE WHEN side = 'A' THEN size ELSE 0 END) AS BIGINT) AS sell_volume, count(*) AS n_ticks, CAST(sum(size) AS DOUBLE) / count(*) AS mean_size, stddev_samp(size) AS sd_size, CAST(sum(CASE WHEN size > 2 * m THEN size ELSE 0 END) AS DOUBLE) / sum(size) AS large_share,
+  CAST(sum(bid_size) AS DOUBLE) / count(*) AS avg_bid_size, CAST(sum(ask_size) AS DOUBLE) / count(*) AS avg_ask_size, CAST(sum(ask - bid) AS DOUBLE) / (4.0::DOUBLE * count(*)) AS mean_spread, CAST(max(ask - bid) AS DOUBLE) / 4 AS max_spread, CAST(count(*) FILTER (dpx > 0) AS DOUBLE) AS upticks,
+  CAST(sum(bid + ask) AS DOUBLE) / (8.0::DOUBLE * count(*)) AS mid, CAST(sum(bid * ask_size + ask * bid_size) AS DOUBLE) / (4.0::DOUBLE * sum(bid_size + ask_size)) AS microprice FROM d GROUP BY symbol, date_trunc('hour', ts))"""
+
+
+def _quoted(spark, sf_dir):
+    """Hourly bars with the sizes of both quotes."""
+    return P.l1_bars(ticks(spark, sf_dir).withColumn("ask_size", 1 + (F.col("user_id") * 7) % 40), "1 hour")
+
+
+def _set_sql(source: str, stages, names: list[str], plain: set[str], eps: str = "1e-9D", rest: str = "", digits: int = 3) -> str:
+    """SQL of a feature set over the bars of ``source``; window functions of later stages read the columns of earlier ones."""
+    made = P.finished(stages, names, plain, eps=eps)
+    last = f"f{len(made) - 1}"
+    return f"""{source}, {P.staged_sql("bars", made)} SELECT symbol, ts, {", ".join(f"round({c}, {digits}) AS {c}" for c in names)}{rest} FROM {last}"""
+
+
+_24 = [c for c in P.MINUTE_24 if c not in P.REGIME]
+_25 = [c for c in P.FIVE_25 if c not in P.REGIME and c not in P.CLOCK]
+_NONE = ", ".join(f"0.0::DOUBLE AS {c}" for c in P.REGIME)
+
+
+@register(_set_sql(BARS_SQL, P.stages_26(), P.BARS_26, P._PLAIN["26"], digits=4))
+def q05_features_26(spark, sf_dir):
+    """26 features of bars with estimated quotes."""
+    return rounded(P.features_26(hour_bars(spark, sf_dir)), P.BARS_26, 4)
+
+
+@register(_set_sql(_L1_SQL, P.stages_24(True), _24, set(), "1e-12D", f", {_NONE}"))
+def q07_features_24(spark, sf_dir):
+    """24 features of the minute predictor, without regimes."""
+    return rounded(P.features_24(_quoted(spark, sf_dir), l1=True), _24, 3)
+
+
+@register(_set_sql(_L1_SQL, P.stages_25(True), _25, set(), "1e-12D", f", {', '.join(f'0.0::DOUBLE AS {c}' for c in P.REGIME[:3])}, round(sin(((hour(ts) - 9) * 60 + minute(ts) - 30) / 390.0::DOUBLE * 2 * pi()), 3) AS tod_sin, round(cos(((hour(ts) - 9) * 60 + minute(ts) - 30) / 390.0::DOUBLE * 2 * pi()), 3) AS tod_cos, CASE WHEN (hour(ts) - 9) * 60 + minute(ts) - 30 < 60 THEN 0.0::DOUBLE WHEN (hour(ts) - 9) * 60 + minute(ts) - 30 < 300 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS session_segment"))
+def q08_features_25(spark, sf_dir):
+    """25 features of the five-minute predictor, without regimes."""
+    return rounded(P.features_25(_quoted(spark, sf_dir), l1=True), [*_25, "tod_sin", "tod_cos"], 3)
+
+
+@register()
+def q08_features_with_regimes(spark, sf_dir):
+    """The same with the regimes of a detector that is fitted on each symbol's first bars."""
+    from ..operators.regime import detect
+
+    b = hour_bars(spark, sf_dir)
+    return rounded(P.features_25(b, detect(b)), [c for c in P.FIVE_25 if c != "session_segment"], 3)
+
+
+@register()
+def q09_features_30(spark, sf_dir):
+    """30 features of hourly bars with frames of four hours and a day."""
+    return rounded(P.features_30(hour_bars(spark, sf_dir), "4 hours", "1 day"), P.FRAMES_30, 3)
+
+
+@register(f"""{_L1_SQL}, {P.staged_sql("bars", P.finished(P.stages_33(), P.L1_33, P._PLAIN["33"]))} SELECT symbol, ts, {", ".join(f"round({c}, 3) AS {c}" for c in P.L1_33)} FROM f{len(P.stages_33()) + 1}""")
+def q11_features_33(spark, sf_dir):
+    """33 features of quotes and trades."""
+    return rounded(P.features_33(_quoted(spark, sf_dir)), P.L1_33, 3)
+
+
 @register(f"{BARS_SQL} SELECT symbol, ts, close, {', '.join(f'lag({c}, {k}) OVER w AS {c}_lag{k}' for k in (1, 2, 3) for c in ('close', 'volume'))} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)")
 def q10_lagged_bars(spark, sf_dir):
     b = hour_bars(spark, sf_dir).select("symbol", "ts", "close", "volume")

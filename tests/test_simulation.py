@@ -70,10 +70,10 @@ def position(side=1, **kw):
         ({"type": "adverse_momentum", "threshold_points": 1.0, "max_bars": 2}, position(bars=3), {"high": 1, "low": 1, "close": 5598}, None),
         ({"type": "signal_bound_exit", "signal": "adx", "lower_bound": 18.0}, position(), {"adx.value": 17.0}, "early:adx_bound"),
         ({"type": "adverse_signal_exit", "signal": "macd", "field": "line"}, position(-1), {"macd.line": 0.1}, "early:adverse_macd_line"),
-        ({"type": "regime_exit", "exit_on_regime": [2]}, position(bars=1), {"regime_v2.value": 2}, "early:regime_flip"),
+        ({"type": "regime_exit", "hostile_regimes_long": [2]}, position(bars=2), {"hmm_regime.value": 2}, "early:regime_flip"),
         ({"type": "volatility_expansion_exit"}, position(bars=3), {"atr.atr_raw": 9.5}, "early:vol_expansion"),
         ({"type": "price_vs_signal_exit", "signal": "d", "long_field": "lo", "short_field": "hi", "offset": 1.0}, position(), {"d.lo": 5590, "close": 5588.5}, "early:price_vs_d"),
-        ({"type": "vwap_reversion_target", "sd_band": 0.5}, position(), {"vwap_session.sd": 4.0, "vwap_session.vwap": 5604.0, "high": 5603}, "tp:reversion_target"),
+        ({"type": "vwap_reversion_target", "target_sd_band": 0.5}, position(), {"vwap_session.sd": 4.0, "vwap_session.vwap": 5604.0, "high": 5603}, "tp:reversion_target"),
         ({"type": "time_stop", "max_bars": 0, "enabled": False}, position(), {}, None),
     ],
 )
@@ -82,7 +82,7 @@ def test_exit_rules(rule, p, b, want):
 
 
 def test_trailing_stop_and_order():
-    check = compile_exits([{"type": "trailing_stop", "atr_multiplier": 1.0, "activation_ticks": 4}, {"type": "time_stop", "max_bars": 0}])
+    check = compile_exits([{"type": "trailing_stop", "atr_multiple": 1.0, "activate_after_ticks": 4}, {"type": "time_stop", "max_bars": 0}])
     p = position()
     assert check(p, {"high": 5610, "low": 5600, "close": 5609}) == "stop:time" and p.peak == 5610
     assert check(p, {"high": 5606, "low": 5600, "close": 5604}) == "stop:trailing"
@@ -92,6 +92,27 @@ def test_trailing_stop_and_order():
     assert bracket_prices([], 1, 100, 0.0) == (0.0, 0.0)
 
 
+@pytest.mark.parametrize(
+    ("rule", "last", "want"),
+    [
+        ({"type": "static_target", "atr_multiple": 1.5}, {"low": 5000, "high": 5010, "close": 5008}, ("target", 5003.0, 15.0, 0.7)),
+        ({"type": "static_stop", "atr_multiple": 1.0}, {"low": 4990, "high": 5002, "close": 5001}, ("stop:static_stop", 4997.75, -11.25, 1.95)),
+        ({"type": "bracket_target"}, {"low": 5000, "high": 5010, "close": 5008}, ("target", 5002.0, 10.0, 0.7)),
+        ({"type": "bracket_stop"}, {"low": 4990, "high": 5001, "close": 5001}, ("stop:bracket_stop", 4997.75, -11.25, 1.95)),
+        ({"type": "vwap_reversion_target", "target_sd_band": 0.5}, {"low": 5000, "high": 5004, "close": 5001, "vwap_session.vwap": 5004.0, "vwap_session.sd": 2.0}, ("target", 5003.0, 15.0, 0.7)),
+        ({"type": "time_stop", "max_bars": 1}, {"low": 5000, "high": 5001, "close": 5001}, ("stop:time", 5000.75, 3.75, 1.95)),
+    ],
+)
+def test_fill_price_of_each_reason(rule, last, want):
+    (t,) = run(bar(0, 4999, 5001, 5000, 1), bar(1, 4999.5, 5000.5, 5000), {**bar(2, 0, 0, 0), **last}, exits=[rule])
+    assert (t[5], t[4], t[7], pytest.approx(t[8])) == want
+
+
+def test_short_static_prices():
+    (t,) = run(bar(0, 4999, 5001, 5000, -1), bar(1, 4999.5, 5000.5, 5000), bar(2, 4990, 5001, 4992), exits=[{"type": "static_target", "atr_multiple": 2.0}])
+    assert (t[5], t[4], t[7]) == ("target", 4996.0, 20.0)
+
+
 def test_risk():
     r = RiskState(max_position=1, max_loss=10.0, max_signals=2)
     assert r.allow(False) == "session" and r.allow(True) is None
