@@ -133,28 +133,55 @@ def train_direction(data: DataFrame, features: list[str], label: str, fold: int,
     return model, model.transform(ready.where(F.col("fold") == fold))
 
 
-def temperature(predictions: DataFrame, logit: str, label: str, rounds: int = 30) -> float:
-    """The temperature in [0.1, 10] of least log loss, by golden section; each step is one aggregate."""
+def temperature(predictions: DataFrame, logit: str, label: str, steps: int = 40) -> float:
+    """The temperature in [0.1, 10] of least log loss: one aggregate over a grid of them, one over a finer grid around the best."""
     z, y = F.col(logit), F.col(label).cast("double")
 
-    def loss(t: float) -> float:
-        s = z / F.lit(t)
-        return predictions.agg(F.avg(F.greatest(s, F.lit(0.0)) - s * y + F.log1p(F.exp(-F.abs(s)))).alias("v")).first()["v"] or 0.0
-
-    g = (math.sqrt(5) - 1) / 2
-    a, b = math.log(0.1), math.log(10.0)
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = loss(math.exp(c)), loss(math.exp(d))
-    for _ in range(rounds):
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = loss(math.exp(c))
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = loss(math.exp(d))
-    return math.exp((a + b) / 2)
+    def best(low: float, high: float) -> int:
+        losses = []
+        for i in range(steps + 1):
+            s = z / F.lit(math.exp(low + (high - low) * i / steps))
+            losses.append(F.avg(F.greatest(s, F.lit(0.0)) - s * y + F.log1p(F.exp(-F.abs(s)))))
+        row = predictions.agg(*[x.alias(f"l{i}") for i, x in enumerate(losses)]).first()
+        return min(range(steps + 1), key=lambda i: (row[i] if row[i] is not None else 0.0, i))
+
+    low, high = math.log(0.1), math.log(10.0)
+    step = (high - low) / steps
+    at = low + step * best(low, high)
+    low, high = max(low, at - step), min(high, at + step)
+    return math.exp(low + (high - low) / steps * best(low, high))
+
+
+def calibrated(p: Column, t: float) -> Column:
+    """A probability whose logit is divided by a temperature."""
+    z = F.ln(F.greatest(p, F.lit(1e-12)) / F.greatest(1 - p, F.lit(1e-12)))
+    return 1 / (1 + F.exp(-z / F.lit(t)))
+
+
+def predictor_signal(scored: DataFrame, t: float, take: float = 8.0, stop: float = 6.0, cost: float = 1.0, least: float = 0.15) -> DataFrame:
+    """symbol, ts, p_up, ev, direction and kelly of a model's predictions (``probability`` of pyspark.ml)."""
+    from pyspark.ml.functions import vector_to_array
+
+    up = calibrated(vector_to_array("probability")[1], t)
+    ev, way, kelly = expected_value(F.col("p_up"), 1 - F.col("p_up"), take, stop, cost, least)
+    return scored.withColumn("p_up", up).select("symbol", "ts", "p_up", ev.alias("ev"), way.cast("int").alias("direction"), kelly.alias("kelly"))
+
+
+def robustness(data: DataFrame, features: list[str], label: str, by: list[str] | None = None, rounds: int = 5) -> DataFrame:
+    """Accuracy and share of ones of a model on rows it hasn't seen: trained on the later half and tested on the earlier one, forward, and forward with flipped labels.
+
+    A model that has learnt something gives about one less its accuracy on flipped labels.
+    """
+    half = F.percent_rank().over(Window.partitionBy(*(by or BY)).orderBy("ts")) >= 0.5
+    df = data.withColumn("_late", half)
+    parts = None
+    for name, late, flip in (("reverse", True, False), ("forward", False, False), ("flipped", False, True)):
+        rows = df.withColumn("fold", F.when(F.col("_late") == late, 0).otherwise(1)).withColumn("embargoed", F.lit(False))
+        _, p = train_direction(rows.withColumn("_y", F.col(label)), features, "_y", 1, rounds)
+        truth = 1 - F.col("_y") if flip else F.col("_y")
+        part = p.agg(F.count("*").alias("n"), F.avg((F.col("prediction") == truth).cast("double")).alias("accuracy"), F.avg(truth).alias("ones")).select(F.lit(name).alias("test"), "n", "accuracy", "ones")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 def expected_value(up: Column, down: Column, take: float, stop: float, cost: float, least: float = 0.15) -> tuple[Column, Column, Column]:

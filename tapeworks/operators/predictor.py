@@ -45,8 +45,8 @@ def back(x: str, k: int = 1) -> str:
     return f"lag({x}, {k}) OVER ({_BY})"
 
 
-def zed(x: str, n: int, eps: str = _SMALL) -> str:
-    sd = roll("stddev_samp", x, n)
+def zed(x: str, n: int, eps: str = _SMALL, least: int | None = None) -> str:
+    sd = f"CASE WHEN count({x}) {_over(n)} >= {least or n} THEN stddev_samp({x}) {_over(n)} END"
     return f"CASE WHEN ({sd}) > {eps} THEN ({x} - avg({x}) {_over(n)}) / ({sd}) ELSE 0.0D END"
 
 
@@ -177,6 +177,16 @@ def finished(stages: Stages, names: list[str], plain: set[str], z: int = 100, ep
     return [*stages, lagged, {c: f"{c}_" if c in plain else zed(f"{c}_", z, eps) for c in names}]
 
 
+def online(stages: Stages, names: list[str], plain: set[str], z: int = 100, least: int = 5) -> Stages:
+    """``stages`` with each feature of the bar itself, scaled from ``least`` values on: what a live builder gives."""
+    return [*stages, {f"{c}_": c for c in names}, {c: f"{c}_" if c in plain else zed(f"{c}_", z, least=least) for c in names}]
+
+
+def features_26_online(bars: DataFrame) -> DataFrame:
+    """symbol, ts and the 26 features at each bar's own close; null until their windows are full."""
+    return staged(bars, online(stages_26(), BARS_26, _PLAIN["26"])).select("symbol", "ts", *BARS_26)
+
+
 def staged(df: DataFrame, stages: Stages) -> DataFrame:
     for s in stages:
         df = df.withColumns({n: F.expr(x) for n, x in s.items()})

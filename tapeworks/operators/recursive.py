@@ -49,9 +49,22 @@ def atr_column(bars: DataFrame, n: int = 14, out: str = "_atr", seed: str = "gro
 
 
 @signal("atr")
-def atr(bars: DataFrame, n: int = 14, lookback: int = 100) -> DataFrame:
-    """Average true range in ticks, with its percentile and regime; always passes."""
-    df = atr_column(bars, n)
+def atr(bars: DataFrame, n: int = 14, lookback: int = 100, gap_aware: bool = True) -> DataFrame:
+    """Average true range in ticks, with its percentile and regime; always passes.
+
+    gap_aware: a bar more than three times the median interval of the first fifty bars
+    after the one before it (ten minutes where there are two at most) has its own range only.
+    """
+
+    def f(a: dict) -> dict:
+        tr = K.true_range(a["high"], a["low"], a["close"])
+        if gap_aware and len(tr) > 1:
+            apart = np.diff(a["_us"])
+            limit = np.floor(np.median(apart[:49]) * 3) if len(tr) > 2 else 6e8
+            tr[1:] = np.where(apart > limit, a["high"][1:] - a["low"][1:], tr[1:])
+        return {"_atr": K.wilder(tr, n, "grow")}
+
+    df = series(bars.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), ["high", "low", "close", "_us"], ["_atr"], f)
     df = df.withColumn("_r", F.coalesce(percent_rank_below("_atr", lookback, BY), F.lit(50.0)))
     regime = F.when(F.col("_r") < 25, "LOW").when(F.col("_r") > 75, "HIGH").otherwise("NORMAL")
     return _drop(df.withColumn("atr", result(F.col("_atr") / TICK, F.lit(True), atr_raw=F.col("_atr"), atr_percentile=F.col("_r"), vol_regime=regime)))

@@ -79,6 +79,29 @@ def train(bars: DataFrame, cfg: M.Config | None = None) -> DataFrame:
     return bars.select("symbol", "ts", *_BAR).groupBy("symbol").applyInArrow(run, "symbol string, rows long, model string")
 
 
+def apply_models(bars: DataFrame, models: DataFrame) -> DataFrame:
+    """symbol, ts, probabilities and regime of bars by stored models (symbol, model); symbols without one are left out."""
+    from ..sources.models import from_json
+
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table["ts"]))
+        model = from_json(table["model"][0].as_py())
+        z, at = M.features({c: pc.cast(table[c], pa.float64()).to_numpy().astype(float) for c in _BAR}, model.cfg)
+        p = model.probabilities(z) if len(z) else np.empty((0, 3))
+        out = M.decided(p, z, model.cfg) if len(z) else np.empty((0, len(M.OUT)))
+        rows = table.select(["symbol", "ts"]).take(pa.array(at, pa.int64()))
+        for k, c in enumerate(("p_trending", "p_ranging", "p_highvol")):
+            rows = rows.append_column(c, pa.array(p[:, k], pa.float64()))
+        return rows.append_column("regime", pa.array(out[:, 3].astype(np.int32), pa.int32())).append_column("confidence", pa.array(out[:, 4], pa.float64()))
+
+    kind = bars.schema["ts"].dataType.simpleString()
+    rows = bars.select("symbol", "ts", *_BAR).join(F.broadcast(models.where("model is not null").select("symbol", "model")), "symbol")
+    return rows.groupBy("symbol").applyInArrow(run, f"symbol string, ts {kind}, p_trending double, p_ranging double, p_highvol double, regime int, confidence double")
+
+
 def walk_forward(bars: DataFrame, splits: int = 3, cfg: M.Config | None = None, least: int = 60) -> DataFrame:
     """Statistics of each symbol and split: the model is fitted on all before the split and filters it.
 

@@ -10,7 +10,8 @@ and is charged again as cost; at a session's end trades close at the last close.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -115,18 +116,27 @@ def replay(bars: DataFrame, by: list[str], exits: list[dict] | None = None, max_
     """
     own = ["ts", "day", "high", "low", "close", "side", "entry", "target", "stop", "atr_entry", "slip"]
     cols = [*[F.col(c) for c in by], *[F.col(c) for c in own], *[F.col(f).alias(f.replace(".", "__")) for f in fields]]
-    ordered = bars.select(*cols).repartition(*by).sortWithinPartitions(*by, "ts")
-    kinds = {f.name: f.dataType.simpleString() for f in bars.schema.fields}
-    names = [x.split()[0] for x in TRADES.split(", ")]
+    return folded(bars.select(*cols), by, lambda: Book(exits, max_position, expiry), TRADES)
+
+
+def folded(rows: DataFrame, by: list[str], make: Callable[[], Any], schema: str) -> DataFrame:
+    """Rows of each key in order of ts through a state machine: ``bar(row)``, ``end_session()`` at the key's end, ``take()`` for what it has made.
+
+    Keys run apart; a key's rows come in bounded batches, so only the machine's state is carried.
+    """
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, "ts")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = [x.split()[0] for x in schema.split(", ")]
+    times = {x.split()[0]: "datetime64[us]" for x in schema.split(", ") if x.split()[1].startswith("timestamp")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, book = None, None
+        key, machine = None, None
 
-        def frame(k, rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names)
+        def frame(k, made: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(made, columns=names)
             for i, c in enumerate(by):
                 out.insert(i, c, k[i])
-            return out.astype({"entry_ts": "datetime64[us]", "exit_ts": "datetime64[us]"})
+            return out.astype(times)
 
         for pdf in batches:
             pdf.columns = [c.replace("__", ".") for c in pdf.columns]
@@ -134,22 +144,21 @@ def replay(bars: DataFrame, by: list[str], exits: list[dict] | None = None, max_
             for lo, hi in zip(at, [*at[1:], len(pdf)], strict=False):
                 k = tuple(pdf[by].iloc[lo])
                 if k != key:
-                    if book:
-                        book.end_session()
-                        if rows := book.take():
-                            yield frame(key, rows)
-                    key, book = k, Book(exits, max_position, expiry)
+                    if machine:
+                        machine.end_session()
+                        if made := machine.take():
+                            yield frame(key, made)
+                    key, machine = k, make()
                 for b in pdf.iloc[lo:hi].to_dict("records"):
-                    book.bar(b)
-                if rows := book.take():
-                    yield frame(key, rows)
-        if book:
-            book.end_session()
-            if rows := book.take():
-                yield frame(key, rows)
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + TRADES
-    return ordered.mapInPandas(run, schema)
+                    machine.bar(b)
+                if made := machine.take():
+                    yield frame(key, made)
+        if machine:
+            machine.end_session()
+            if made := machine.take():
+                yield frame(key, made)
+
+    return ordered.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + schema)
 
 
 def first_touch(intents: DataFrame, bars: DataFrame, by: list[str], horizon: int) -> DataFrame:

@@ -294,15 +294,18 @@ def signals_of(df: DataFrame, side_: Column, confidence: Column, gate: Column, c
     return df.withColumn("_u", used).withColumn("side", F.when(F.col("_u") <= cap, F.col("_s")).otherwise(0).cast("int")).drop("_s", "_u")
 
 
-def intents(bars: DataFrame, name: str, filters: list[tuple[str, str]] | None = None) -> DataFrame:
+def intents(bars: DataFrame, name: str, filters: list[tuple[str, str]] | None = None, configs: dict[str, dict] | None = None) -> DataFrame:
     """Bars with side, entry, target, stop and atr_entry of a strategy; side is 0 where it doesn't enter.
 
     A geometry on the wrong side of the entry gives no entry; beyond the cap of a
-    session (of each direction, for some) there is none either.
+    session (of each direction, for some) there is none either.  ``configs`` overrides
+    parameters of the strategy's signals; an unknown name is an error.
     """
     s = REGISTRY[name]
+    if unknown := set(configs or {}) - set(s.signals):
+        raise ValueError(f"{name} doesn't use {', '.join(sorted(unknown))}")
     need = sorted({*s.signals, "atr", *needed_signals(s.exits or [])})
-    df = compute(with_day(bars), need, **s.configs)
+    df = compute(with_day(bars), need, **{n: {**s.configs.get(n, {}), **(configs or {}).get(n, {})} for n in need})
     df, way_, target, stop = s.entry(df)
     rules = [parse_rule({"signal": a, "expr": b}) for a, b in (s.filters if filters is None else filters)]
     ok, _ = compile_rules(rules, df)

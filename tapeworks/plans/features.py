@@ -198,3 +198,106 @@ def m03_principal_components(spark, sf_dir):
     from ..operators.regime import explained_variance
 
     return explained_variance(table(spark, sf_dir, "embeddings"), "embedding", 5)
+
+
+@register("""WITH l AS (SELECT (doc_id * 37 % 101 - 50) / 5.0::DOUBLE AS z, quality AS y FROM labels), g AS (SELECT i, ln(0.1) + (ln(10.0) - ln(0.1)) * i / 40 AS t FROM range(41) r(i)),
+a AS (SELECT i, t, avg(greatest(z / exp(t), 0) - z / exp(t) * y + ln(1 + exp(-abs(z / exp(t))))) AS v FROM l, g GROUP BY i, t), b AS (SELECT arg_min(t, struct_pack(v := v, i := i)) AS t, (ln(10.0) - ln(0.1)) / 40 AS s FROM a),
+e AS (SELECT greatest(t - s, ln(0.1)) AS lo, least(t + s, ln(10.0)) AS hi FROM b), h AS (SELECT i, lo + (hi - lo) * i / 40 AS t FROM e, range(41) r(i)), c AS (SELECT i, t, avg(greatest(z / exp(t), 0) - z / exp(t) * y + ln(1 + exp(-abs(z / exp(t))))) AS v FROM l, h GROUP BY i, t)
+SELECT round(exp(arg_min(t, struct_pack(v := v, i := i))), 4) AS temperature FROM c""")
+def q15_temperature(spark, sf_dir):
+    """Temperature of least log loss."""
+    p = table(spark, sf_dir, "labels").select(((F.col("doc_id") * 37 % 101 - 50) / F.lit(5.0)).alias("z"), F.col("quality").alias("y"))
+    return spark.createDataFrame([(round(X.temperature(p, "z", "y"), 4),)], "temperature double")
+
+
+_MODEL = ["ret_1", "ret_5", "range", "body", "vwap_dist", "vol_20", "bb_pct", "donchian_pos"]
+
+
+def _labelled(spark, sf_dir):
+    from pyspark.sql import Window
+
+    b = hour_bars(spark, sf_dir)
+    b = b.withColumn("up", (F.lead("close").over(Window.partitionBy("symbol").orderBy("ts")) > F.col("close")).cast("double")).where("up is not null")
+    return X.walk_forward(X.bar_features(b)).select("symbol", "ts", "up", "fold", "embargoed", *_MODEL).na.drop(subset=_MODEL)
+
+
+@register()
+def q17_robustness(spark, sf_dir):
+    """Accuracy of a model trained on the later half, on the earlier half, and against flipped labels."""
+    return rounded(X.robustness(_labelled(spark, sf_dir), _MODEL, "up"), ["accuracy", "ones"])
+
+
+@register()
+def sg33_tick_predictor(spark, sf_dir):
+    """The predictor's signal: a model of all folds but the last two, its temperature from the one before the last, signals in the last."""
+    from pyspark.ml.functions import vector_to_array
+
+    data = _labelled(spark, sf_dir)
+    model, held = X.train_direction(data, _MODEL, "up", 4, 5)
+    p = held.withColumn("_p", vector_to_array("probability")[1])
+    t = X.temperature(p.withColumn("z", F.ln(F.greatest("_p", F.lit(1e-12)) / F.greatest(1 - F.col("_p"), F.lit(1e-12)))), "z", "up")
+    from pyspark.ml.feature import VectorAssembler
+
+    last = VectorAssembler(inputCols=_MODEL, outputCol="_x", handleInvalid="skip").transform(data.where("fold = 5"))
+    return rounded(X.predictor_signal(model.transform(last), t), ["p_up", "ev", "kelly"])
+
+
+@register()
+def m02_detector_features(spark, sf_dir):
+    """The seven scaled features of the regime detector."""
+    from ..functions.regimes import NAMES, Config
+    from ..operators.regime import regime_inputs
+
+    return rounded(regime_inputs(hour_bars(spark, sf_dir), Config().small()), list(NAMES))
+
+
+@register()
+def m03_projection(spark, sf_dir):
+    """Features on their principal axes, enough for 95 % of the variance."""
+    from ..functions.regimes import NAMES, Config
+    from ..operators.regime import projected, regime_inputs
+
+    out = projected(regime_inputs(hour_bars(spark, sf_dir), Config().small()), list(NAMES))
+    return out.select("symbol", "ts", F.transform("components", lambda x: F.round(x, 3)).alias("components"))
+
+
+@register()
+def m04_detector(spark, sf_dir):
+    """Probabilities, regime in force, size and halt of each bar."""
+    from ..operators.regime import detect
+
+    return rounded(detect(hour_bars(spark, sf_dir)), ["regime_p_trending", "regime_p_ranging", "regime_p_highvol", "confidence"])
+
+
+@register()
+def m04_detector_student(spark, sf_dir):
+    """The same with Student's densities."""
+    from dataclasses import replace
+
+    from ..functions.regimes import Config
+    from ..operators.regime import detect
+
+    return rounded(detect(hour_bars(spark, sf_dir), replace(Config().small(), emission="studentt")), ["regime_p_trending", "regime_p_ranging", "regime_p_highvol", "confidence"])
+
+
+@register()
+def m10_walk_forward(spark, sf_dir):
+    """Statistics of refitted detectors on three spans after their training."""
+    from ..operators.regime import walk_forward
+
+    return rounded(walk_forward(hour_bars(spark, sf_dir)), ["avg_confidence", "halt_fraction", "avg_stint", "trending", "ranging", "high_vol"])
+
+
+@register(f"""{BARS_SQL}, s AS (SELECT symbol, CAST(ts AS DATE) AS d, count(*) AS n_bars, avg(CASE WHEN close > open THEN 1.0::DOUBLE ELSE 0.4 END) AS c, avg(CASE WHEN volume > 60 THEN 1.0::DOUBLE ELSE 0.0 END) AS h, CAST(count(*) AS DOUBLE) / 3 AS st, avg(CASE WHEN high - low < 20 THEN 1.0::DOUBLE ELSE 0.0 END) AS r FROM bars GROUP BY ALL),
+a AS (SELECT symbol, CAST(sum(n_bars) AS BIGINT) AS n_bars, avg(c) AS avg_confidence, avg(h) AS halt_fraction, avg(st) AS avg_stint, avg(r) AS ranging FROM s GROUP BY symbol)
+SELECT symbol, n_bars, round(avg_confidence, 4) AS avg_confidence, round(halt_fraction, 4) AS halt_fraction, round(avg_stint, 4) AS avg_stint, round(ranging, 4) AS ranging,
+  concat_ws(',', CASE WHEN n_bars < 500 THEN 'oos_bars < 500' END, CASE WHEN avg_confidence < 0.55 THEN 'confidence < 0.55' END, CASE WHEN avg_confidence > 0.95 THEN 'confidence > 0.95' END, CASE WHEN halt_fraction > 0.4 THEN 'halt_fraction > 0.4' END, CASE WHEN avg_stint < 3 THEN 'stint < 3' END, CASE WHEN ranging < 0.1 THEN 'ranging < 0.1' END, CASE WHEN ranging > 0.7 THEN 'ranging > 0.7' END) AS failed FROM a""")
+def g24_retrain_gates(spark, sf_dir):
+    """Gates on statistics of the splits (here of days) of each symbol."""
+    from ..operators.regime import gates
+
+    b = hour_bars(spark, sf_dir)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    s = b.groupBy("symbol", F.col("ts").cast("date").alias("d")).agg(F.count("*").alias("n_bars"), F.avg(F.when(F.col("close") > F.col("open"), 1.0).otherwise(0.4)).alias("avg_confidence"), share(F.col("volume") > 60).alias("halt_fraction"), (F.count("*") / 3).alias("avg_stint"), share(F.col("high") - F.col("low") < 20).alias("ranging"))
+    out = gates(s, ["symbol"]).withColumn("failed", F.array_join("failed", ",")).drop("passed")
+    return rounded(out, ["avg_confidence", "halt_fraction", "avg_stint", "ranging"])

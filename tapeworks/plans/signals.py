@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..operators.signals import compute
+from ..operators.enrich import enrich, structs
+from ..operators.signals import REGISTRY, compute
 from .base import BARS_SQL, hour_bars
 
 _W = "w AS (PARTITION BY symbol ORDER BY ts)"
@@ -129,7 +130,9 @@ def _wilder_sql(out: str, column: str, n: int, base: str) -> str:
     return f"{out} AS (SELECT symbol, i, {column} AS v FROM {base} WHERE i = 1 UNION ALL SELECT x.symbol, x.i, CASE WHEN x.i <= {n} THEN (p.v * (x.i - 1) + x.{column}) / x.i ELSE (p.v * {n - 1} + x.{column}) / {n} END FROM {out} p JOIN {base} x ON x.symbol = p.symbol AND x.i = p.i + 1)"
 
 
-_recursive("sg01_atr", "atr", f"{_N}, {_TR}, {_wilder_sql('a', 'tr', 14, 't')}, j AS (SELECT n.symbol, n.ts, a.v FROM n JOIN a USING (symbol, i)) " + _final("v / 0.25", "true", "NULL", "j", ", round(v, 4) AS atr_raw"), ("atr_raw",))
+_GAP = f"""g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) AS d, count(*) OVER (PARTITION BY symbol) AS c FROM n), m AS (SELECT symbol, floor(3 * median(d)) AS m FROM g WHERE i BETWEEN 2 AND 50 GROUP BY symbol),
+t AS (SELECT g.*, CASE WHEN d > CASE WHEN c > 2 THEN m ELSE 6e8 END THEN high - low ELSE coalesce(greatest(high - low, abs(high - pc), abs(low - pc)), high - low) END AS tr FROM g LEFT JOIN m USING (symbol))"""
+_recursive("sg01_atr", "atr", f"{_N}, {_GAP}, {_wilder_sql('a', 'tr', 14, 't')}, j AS (SELECT n.symbol, n.ts, a.v FROM n JOIN a USING (symbol, i)) " + _final("v / 0.25", "true", "NULL", "j", ", round(v, 4) AS atr_raw"), ("atr_raw",))
 _recursive("sg06_ema_crossover", "ema_crossover", f"{_N}, {_ema_sql('close', 8, 'f')}, {_ema_sql('close', 21, 's')}, d AS (SELECT n.symbol, n.ts, f.v - s.v AS d, f.v AS fast FROM n JOIN f USING (symbol, i) JOIN s USING (symbol, i)), x AS (SELECT *, lag(d) OVER w AS b FROM d WINDOW {_W}) "
            + _final("d", "(b <= 0 AND d > 0) OR (b >= 0 AND d < 0)", _dir("d > 0", "d < 0"), "x", ", round(fast, 4) AS fast"), ("fast",))
 _recursive("sg07_ema_ribbon", "ema_ribbon", f"{_N}, {_TR}, {_wilder_sql('a', 'tr', 14, 't')}, {', '.join(_ema_sql('close', k, f'e{k}') for k in (8, 13, 21, 34, 55))}, j AS (SELECT n.symbol, n.ts, n.close, a.v AS atr, e8.v AS a, e13.v AS b, e21.v AS c, e34.v AS d, e55.v AS e FROM n JOIN a USING (symbol, i) JOIN e8 USING (symbol, i) JOIN e13 USING (symbol, i) JOIN e21 USING (symbol, i) JOIN e34 USING (symbol, i) JOIN e55 USING (symbol, i)) "
@@ -177,9 +180,71 @@ for _key, _name in [("sg08_hmm_regime", "hmm_regime"), ("sg19_regime_v2", "regim
     _signal(_key, _name)
 
 
+#: The signals that a struct column exists for, in alphabetical order.
+def _all_signals() -> list[str]:
+    compute(None, [])
+    return sorted(REGISTRY)
+
+
 @register()
 def v00_enrich_all(spark, sf_dir):
     """All signals at once, values only."""
-    names = ["atr", "adx", "bollinger", "donchian_channel", "ema_crossover", "relative_volume", "rsi_momentum", "session_time", "vwap_session", "vwap_slope"]
+    names = _all_signals()
     out = compute(hour_bars(spark, sf_dir), names)
     return out.select("symbol", "ts", *[F.round(F.col(n)["value"], 4).alias(f"sig_{n}_value") for n in names])
+
+
+def _flat(key: str, name: str, columns: dict[str, int | None], sql: str | None) -> None:
+    """A query of a signal's flat columns; those with a number of digits are rounded."""
+
+    def query(spark, sf_dir):
+        out = enrich(hour_bars(spark, sf_dir), [name])
+        return out.select("symbol", "ts", *[(F.round(c, d) if d is not None else F.col(c)).alias(c) for c, d in columns.items()])
+
+    register(sql, key)(query)
+
+
+def _cols(columns: dict[str, int | None]) -> str:
+    return ", ".join(f"round({c}, {d}) AS {c}" if d is not None else c for c, d in columns.items())
+
+
+_V1 = {"sig_atr_value": 4, "sig_atr_raw": 4, "sig_atr_percentile": 4, "sig_atr_vol_regime": None}
+_flat("v01_flat_atr", "atr", _V1, BARS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_N}, {_TR}, {_wilder_sql('a', 'tr', 14, 't')}, j AS (SELECT n.symbol, n.ts, n.i, a.v AS sig_atr_raw, a.v / 0.25 AS sig_atr_value FROM n JOIN a USING (symbol, i)),
+l AS (SELECT *, list(sig_atr_raw) OVER f AS w FROM j WINDOW f AS {frame(100)}), p AS (SELECT *, CASE WHEN i = 1 THEN 50.0::DOUBLE ELSE 100.0::DOUBLE * len(list_filter(w, lambda x: x < sig_atr_raw)) / len(w) END AS sig_atr_percentile FROM l),
+r AS (SELECT *, CASE WHEN sig_atr_percentile < 25 THEN 'LOW' WHEN sig_atr_percentile > 75 THEN 'HIGH' ELSE 'NORMAL' END AS sig_atr_vol_regime FROM p) SELECT symbol, ts, {_cols(_V1)} FROM r""")
+
+_V2 = {"sig_vwap_vwap": 4, "sig_vwap_sd": 3, "sig_vwap_value": 3, "sig_vwap_session_age": None, "sig_vwap_direction": None, "sig_vwap_first_kiss": None}
+_flat("v02_flat_vwap", "vwap_session", _V2, f"""{BARS_SQL}, t AS (SELECT *, CAST(ts AS DATE) AS day, (high + low + close) / 3 AS t FROM bars), v AS (SELECT *, sum(t * volume) OVER d / sum(volume) OVER d AS sig_vwap_vwap, sum(t * t * volume) OVER d / sum(volume) OVER d AS q, count(*) OVER d AS sig_vwap_session_age FROM t WINDOW d AS (PARTITION BY symbol, day ORDER BY ts)),
+s AS (SELECT *, sqrt(greatest(q - sig_vwap_vwap * sig_vwap_vwap, 0)) AS sig_vwap_sd FROM v), e AS (SELECT *, CASE WHEN sig_vwap_sd > 1e-3 THEN (close - sig_vwap_vwap) / sig_vwap_sd ELSE 0.0 END AS sig_vwap_value FROM s),
+x AS (SELECT *, CASE WHEN sig_vwap_sd > 1e-3 AND abs(sig_vwap_value) >= 1 THEN CASE WHEN sig_vwap_value < 0 THEN 'long' ELSE 'short' END ELSE 'none' END AS sig_vwap_direction, coalesce(sig_vwap_sd > 1e-3 AND abs(sig_vwap_value) < 0.5 AND max(abs(sig_vwap_value)) OVER (PARTITION BY symbol, day ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) >= 1.5, false) AS sig_vwap_first_kiss FROM e) SELECT symbol, ts, {_cols(_V2)} FROM x""")
+
+_V3 = {"sig_rvol_value": 4, "sig_rvol_passes": None}
+_flat("v03_flat_relative_volume", "relative_volume", _V3, f"""{BARS_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, avg(volume) OVER b AS m FROM bars WINDOW b AS {before(19)}), x AS (SELECT *, CASE WHEN i > 20 THEN volume / m ELSE 1.0 END AS sig_rvol_value, i > 20 AND volume / m >= 1.5 AS sig_rvol_passes FROM m) SELECT symbol, ts, {_cols(_V3)} FROM x""")
+
+_V4 = {"sig_spread_value": 4, "sig_spread_passes": None}
+_flat("v04_flat_spread", "spread", _V4, f"""{BARS_SQL}, s AS (SELECT *, CASE WHEN avg_ask > avg_bid THEN avg_ask - avg_bid END AS s FROM bars), z AS (SELECT *, CASE WHEN count(s) OVER r >= 30 AND stddev_samp(s) OVER r > 1e-12 THEN (last_value(s IGNORE NULLS) OVER r - avg(s) OVER r) / stddev_samp(s) OVER r ELSE 0.0 END AS sig_spread_value FROM s WINDOW r AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+x AS (SELECT *, abs(sig_spread_value) < 2 AS sig_spread_passes FROM z) SELECT symbol, ts, {_cols(_V4)} FROM x""")
+
+_V5 = {"sig_adx_value": 4, "sig_adx_plus_di": 4, "sig_adx_minus_di": 4, "sig_adx_passes": None, "sig_adx_direction": None}
+_flat("v05_flat_adx", "adx", _V5, BARS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_N.replace("lag(close) OVER w AS pc", "lag(close) OVER w AS pc, high - lag(high) OVER w AS um, lag(low) OVER w - low AS dm")},
+d AS (SELECT symbol, i - 1 AS i, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CAST(CASE WHEN um > dm AND um > 0 THEN um ELSE 0 END AS DOUBLE) AS pl, CAST(CASE WHEN dm > um AND dm > 0 THEN dm ELSE 0 END AS DOUBLE) AS mi FROM n WHERE i > 1),
+{_wilder_sql('wt', 'tr', 14, 'd')}, {_wilder_sql('wp', 'pl', 14, 'd')}, {_wilder_sql('wm', 'mi', 14, 'd')}, u AS (SELECT symbol, i, CASE WHEN wt.v > 0 THEN 100 * wp.v / wt.v ELSE 0.0 END AS p, CASE WHEN wt.v > 0 THEN 100 * wm.v / wt.v ELSE 0.0 END AS m FROM wt JOIN wp USING (symbol, i) JOIN wm USING (symbol, i)),
+y AS (SELECT *, CASE WHEN p + m > 0 THEN 100 * abs(p - m) / (p + m) ELSE 0.0 END AS dx FROM u), {_wilder_sql('a', 'dx', 14, 'y')},
+x AS (SELECT n.symbol, n.ts, coalesce(a.v, 0.0) AS sig_adx_value, coalesce(u.p, 0.0) AS sig_adx_plus_di, coalesce(u.m, 0.0) AS sig_adx_minus_di, coalesce(a.v, 0.0) >= 25 AS sig_adx_passes, CASE WHEN u.p > u.m THEN 'long' WHEN u.m > u.p THEN 'short' ELSE 'none' END AS sig_adx_direction FROM n LEFT JOIN u ON u.symbol = n.symbol AND u.i = n.i - 1 LEFT JOIN a ON a.symbol = n.symbol AND a.i = n.i - 1) SELECT symbol, ts, {_cols(_V5)} FROM x""")
+
+_V6 = {"sig_dc_value": 4, "sig_dc_entry_upper": None, "sig_dc_entry_lower": None, "sig_dc_exit_upper": None, "sig_dc_exit_lower": None, "sig_dc_passes": None, "sig_dc_direction": None}
+_flat("v06_flat_donchian", "donchian_channel", _V6, f"""{BARS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) > 21 AS ok, max(high) OVER b AS u, min(low) OVER b AS l, max(high) OVER c AS xu, min(low) OVER c AS xl FROM bars WINDOW b AS {before(20)}, c AS {before(10)}),
+x AS (SELECT *, CASE WHEN ok THEN u END AS sig_dc_entry_upper, CASE WHEN ok THEN l END AS sig_dc_entry_lower, CASE WHEN ok THEN xu END AS sig_dc_exit_upper, CASE WHEN ok THEN xl END AS sig_dc_exit_lower, CASE WHEN ok THEN u - l ELSE 0.0 END AS sig_dc_value, ok AND (close > u OR close < l) AS sig_dc_passes, CASE WHEN ok AND close > u THEN 'long' WHEN ok AND close < l THEN 'short' ELSE 'none' END AS sig_dc_direction FROM n) SELECT symbol, ts, {_cols(_V6)} FROM x""")
+
+_V7 = {"sig_session_time_value": None}
+_flat("v07_flat_session_time", "session_time", _V7, f"{BARS_SQL}, x AS (SELECT *, ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS e FROM bars) SELECT symbol, ts, CAST(hour(e) * 60 + minute(e) AS DOUBLE) AS sig_session_time_value FROM x")
+_flat("v08_flat_regime", "regime_v2", {"sig_regime_v2_value": None, "sig_regime_v2_confidence": 4, "sig_regime_v2_p_trending": 4, "sig_regime_v2_p_ranging": 4, "sig_regime_v2_p_high_vol": 4, "sig_regime_v2_position_size": None, "sig_regime_v2_whipsaw_halt": None}, None)
+
+
+@register(f"""{BARS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) > 21 AS ok, max(high) OVER b AS u, min(low) OVER b AS l FROM bars WINDOW b AS {before(20)})
+SELECT symbol, ts, round(CASE WHEN ok THEN u - l ELSE 0.0 END, 4) AS value, ok AND (close > u OR close < l) AS passes, CASE WHEN ok AND close > u THEN 'long' WHEN ok AND close < l THEN 'short' ELSE 'none' END AS direction, CASE WHEN ok THEN u END AS upper FROM n""")
+def v09_structs(spark, sf_dir):
+    """A signal struct made again from its flat columns."""
+    s = F.col("donchian_channel")
+    out = structs(enrich(hour_bars(spark, sf_dir), ["donchian_channel"]), ["donchian_channel", "adx"])
+    return out.select("symbol", "ts", F.round(s["value"], 4).alias("value"), s["passes"].alias("passes"), s["direction"].alias("direction"), s["upper"].alias("upper"))

@@ -172,3 +172,15 @@ def h06_compare_bar_types(spark, sf_dir):
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     out = both.groupBy("kind").agg(F.count("*").alias("n"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"))
     return rounded(out, ["skew", "kurt"])
+
+
+@register()
+def h08_hurst_by_window(spark, sf_dir):
+    """Exponent and class of returns at windows of one to twelve hours."""
+    return rounded(T.hurst_by_window(hour_bars(spark, sf_dir), ["symbol"], ("1 hour", "4 hours", "12 hours"), 50), ["hurst"])
+
+
+@register()
+def h11_segmented_report(spark, sf_dir):
+    """The scale analysis of all bars and of each segment of the session."""
+    return rounded(T.segmented_report(hour_bars(spark, sf_dir), windows=("1 hour", "4 hours"), least=50), ["value"])

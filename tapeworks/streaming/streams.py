@@ -118,6 +118,88 @@ def merge_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     return merge
 
 
+def tail_sink(path: str, keep: int, f: Callable[[DataFrame], DataFrame], ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that runs a batch operator on the last ``keep`` rows of each symbol and gives out the new rows.
+
+    The tail is a numbered snapshot, bounded by symbols times ``keep``; what ``f`` makes of
+    tail and new rows is kept for the new ones, in a part for each batch.  A batch that
+    comes again reads the snapshot before it and writes the same part.
+    """
+    from pyspark.sql import Window
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        both = batch.withColumn("_new", F.lit(True))
+        if number:
+            both = both.unionByName(spark.read.parquet(f"{path}/tail/v={number - 1}").withColumn("_new", F.lit(False)))
+        last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(ts)))
+        both = both.persist()
+        try:
+            new = both.where("_new").select("symbol", ts).distinct()
+            f(both.drop("_new")).join(new, ["symbol", ts], "left_semi").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+            both.drop("_new").withColumn("_n", last).where(F.col("_n") <= keep).drop("_n").write.mode("overwrite").parquet(f"{path}/tail/v={number}")
+        finally:
+            both.unpersist()
+
+    return step
+
+
+def run_sink(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Everything that is there through a foreachBatch sink, then stop."""
+    q = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def timer_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for ``trigger(processingTime=...)``: what has arrived since the last trigger is one bar of each symbol, whatever its clock says."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        bars = batch.groupBy("symbol").agg(F.min("ts").alias("ts"), (F.min_by("px", "ts") / 4.0).alias("open"), (F.max("px") / 4.0).alias("high"), (F.min("px") / 4.0).alias("low"), (F.max_by("px", "ts") / 4.0).alias("close"), F.sum("size").alias("volume"), F.count("*").alias("n_ticks"))
+        bars.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return step
+
+
+_SESSION = "symbol string, event string, day date, ts timestamp, n long, realised double"
+
+
+def sessions(fills: DataFrame) -> DataFrame:
+    """Open and close events of each symbol's sessions from a stream of (symbol, ts, day, pnl): at a close the day's rows and P&L, which start anew."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, n, total, at = state.get if state.exists else (None, 0, 0.0, None)
+        out = []
+        for r in _ordered(key[0], frames).itertuples(index=False):
+            if r.day != day:
+                if day is not None:
+                    out.append((key[0], "close", day, at, n, total))
+                out.append((key[0], "open", r.day, r.ts, 0, 0.0))
+                day, n, total = r.day, 0, 0.0
+            n, total, at = n + 1, total + r.pnl, r.ts
+        state.update((day, n, total, at))
+        yield pd.DataFrame(out, columns=["symbol", "event", "day", "ts", "n", "realised"])
+
+    return fills.groupBy("symbol").applyInPandasWithState(step, _SESSION, "day date, n long, total double, at timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
+def staleness(ticks: DataFrame, now, limit_seconds: int = 30) -> DataFrame:
+    """symbol, last time, age in seconds at ``now`` and whether it is stale: a complete-mode aggregate on a stream, a plain one on a table."""
+    out = ticks.groupBy("symbol").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
+    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 1e6
+    return out.withColumn("age", age).withColumn("stale", F.col("age") > limit_seconds)
+
+
+def health(query: StreamingQuery) -> dict:
+    """State, rows, rates and latency of a running query from its own progress reports."""
+    reports = [p.json if hasattr(p, "json") else p for p in query.recentProgress]
+    import json
+
+    reports = [json.loads(p) if isinstance(p, str) else p for p in reports]
+    took = sorted(p["durationMs"].get("triggerExecution", 0) for p in reports if p.get("durationMs"))
+    return {"active": query.isActive, "error": str(query.exception()) if query.exception() else None, "batches": len(reports), "rows": sum(p["numInputRows"] for p in reports), "latency_ms": {"min": took[0], "max": took[-1], "p99": took[min(len(took) - 1, int(len(took) * 0.99))]} if took else None, "last": reports[-1]["timestamp"] if reports else None}
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Everything that is there, then stop; a restart goes on from the checkpoint."""
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
