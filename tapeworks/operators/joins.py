@@ -55,9 +55,10 @@ def previous_session(sessions: DataFrame, by: list[str], date: str, values: list
     return sessions.select(*by, date, *[F.lag(v).over(w).alias(prefix + v) for v in values])
 
 
-def missing_weekdays(df: DataFrame, date: str) -> DataFrame:
-    """Weekdays between the first and the last date that have no row."""
-    days = df.select(F.col(date).cast("date").alias("d")).distinct()
-    span = days.agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a is not null")
-    every = span.select(F.explode(F.sequence("a", "b")).alias("d")).where(F.weekday("d") < 5)
-    return every.join(days, "d", "left_anti")
+def missing_weekdays(df: DataFrame, date: str, by: list[str] | None = None) -> DataFrame:
+    """by, d: weekdays between the first and the last date of each key that have no row."""
+    by = by or []
+    days = df.select(*by, F.col(date).cast("date").alias("d")).distinct()
+    span = days.groupBy(*by).agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a is not null")
+    every = span.select(*by, F.explode(F.sequence("a", "b")).alias("d")).where(F.weekday("d") < 5)
+    return every.join(days, [*by, "d"], "left_anti")

@@ -83,12 +83,19 @@ def g08_tpo_profile(spark, sf_dir):
     return P.tpo_profile(_days(spark, sf_dir))
 
 
-@register(f"""{BARS_SQL}, e AS (SELECT DATE '2024-01-05' AS d, 'NFP' AS kind UNION ALL SELECT DATE '2024-01-11', 'CPI' UNION ALL SELECT DATE '2024-01-31', 'FOMC') SELECT b.symbol, b.ts, coalesce(e.kind, 'none') AS kind FROM bars b LEFT JOIN e ON e.d = CAST(b.ts AS DATE)""")
+def _calendar_sql() -> str:
+    from ..operators import calendar as C
+
+    return " UNION ALL ".join(f"SELECT DATE '2024-{m:02d}-{d:02d}' AS d, '{kind}' AS kind" for kind, days in (("FOMC", C.FOMC_2024), ("NFP", C.NFP_2024), ("CPI", C.CPI_2024)) for m, d in days)
+
+
+@register(f"""{BARS_SQL}, e AS (SELECT d, min(kind) AS kind FROM ({_calendar_sql()}) GROUP BY d) SELECT b.symbol, b.ts, coalesce(e.kind, 'none') AS kind FROM bars b LEFT JOIN e ON e.d = CAST(b.ts AS DATE)""")
 def g09_event_calendar(spark, sf_dir):
-    """Bars marked with the month's fixed event days, from a small table."""
+    """Bars marked with the year's fixed event days, from a small table; of two events on a day the first by name."""
     from ..operators.calendar import events_2024
 
-    return _days(spark, sf_dir).join(F.broadcast(events_2024(spark).where("d between '2024-01-01' and '2024-01-31'")), F.col("day") == F.col("d"), "left").select("symbol", "ts", F.coalesce("kind", F.lit("none")).alias("kind"))
+    days = events_2024(spark).groupBy("d").agg(F.min("kind").alias("kind"))
+    return _days(spark, sf_dir).join(F.broadcast(days), F.col("day") == F.col("d"), "left").select("symbol", "ts", F.coalesce("kind", F.lit("none")).alias("kind"))
 
 
 @register(f"""{BARS_SQL}, x AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS p, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s, count(*) OVER w AS c FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))

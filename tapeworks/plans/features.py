@@ -150,15 +150,21 @@ def q13_walk_forward_folds(spark, sf_dir):
 
 @register()
 def q13_direction_model(spark, sf_dir):
-    """A boosted-tree model of the next bar's direction, trained on all folds but the last."""
-    from pyspark.sql import Window
+    """Boosted-tree predictions of the next bar's direction in every fold, each by a model of the folds before it."""
+    data, parts = _labelled(spark, sf_dir), None
+    for k in range(1, 6):
+        _, p = X.train_direction(data, _MODEL, "up", k, 3, 2)
+        p = p.select("symbol", "ts", F.lit(k).alias("fold"), F.col("up").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+        parts = p if parts is None else parts.unionByName(p)
+    return parts
 
-    cols = ["ret_1", "ret_5", "range", "body", "vwap_dist", "vol_20", "bb_pct", "donchian_pos"]
-    b = hour_bars(spark, sf_dir)
-    b = b.withColumn("up", (F.lead("close").over(Window.partitionBy("symbol").orderBy("ts")) > F.col("close")).cast("double")).where("up is not null")
-    data = X.walk_forward(X.bar_features(b)).select("symbol", "ts", "up", "fold", "embargoed", *cols).na.drop(subset=cols)
-    _, p = X.train_direction(data, cols, "up", 5)
-    return p.select("symbol", "ts", F.col("up").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+@register()
+def q14_importances(spark, sf_dir):
+    """Importance of each feature in the final model of all folds."""
+    model, _ = X.train_direction(_labelled(spark, sf_dir), _MODEL, "up", 6, 3, 2)
+    rows = [(n, round(float(v), 4)) for n, v in zip(_MODEL, model.featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(rows, "feature string, importance double")
 
 
 @register("""WITH p AS (SELECT doc_id, (doc_id * 37 % 101) / 101.0::DOUBLE AS u FROM labels), e AS (SELECT doc_id, u, 1 - u AS d, (u * 4 - (1 - u) * 3 - 0.5) / 4 AS l, ((1 - u) * 4 - u * 3 - 0.5) / 4 AS s FROM p)

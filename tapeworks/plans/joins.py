@@ -30,23 +30,20 @@ def j02_left_fill(spark, sf_dir):
     return hour_bars(spark, sf_dir).join(l1, ["symbol", "ts"], "left").select("symbol", "ts", "close", F.coalesce("s", F.lit(0)).alias("bid_size"), F.col("s").isNotNull().alias("matched"))
 
 
-_BUY = "p AS (SELECT event_id, user_id, ts FROM ticks WHERE symbol = 'purchase'), v AS (SELECT user_id, ts, px FROM ticks WHERE symbol = 'view')"
-
-
 def _sides(spark, sf_dir):
     t = ticks(spark, sf_dir)
-    return t.where("symbol = 'purchase'").select("event_id", "user_id", "ts"), t.where("symbol = 'view'").select("user_id", "ts", "px")
+    return clock_bars(t, "1 hour").select("symbol", "ts"), t.select("symbol", "ts", "px")
 
 
-@register(f"{ONLY_TICKS}, {_BUY} SELECT p.event_id, p.user_id, p.ts, v.ts AS r_ts, v.px AS r_px FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts")
+@register(f"{BARS_SQL} SELECT b.symbol, b.ts, t.ts AS r_ts, t.px AS r_px FROM bars b ASOF LEFT JOIN ticks t ON b.symbol = t.symbol AND b.ts >= t.ts")
 def j03_asof(spark, sf_dir):
-    """The last view of a user at or before each purchase."""
-    return J.asof(*_sides(spark, sf_dir), ["user_id"])
+    """The last tick at or before the start of each bar."""
+    return J.asof(*_sides(spark, sf_dir), ["symbol"])
 
 
-@register(f"{ONLY_TICKS}, {_BUY} SELECT p.event_id, p.user_id, p.ts, v.ts AS r_ts, v.px AS r_px FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts <= v.ts")
+@register(f"{BARS_SQL} SELECT b.symbol, b.ts, t.ts AS r_ts, t.px AS r_px FROM bars b ASOF LEFT JOIN ticks t ON b.symbol = t.symbol AND b.ts <= t.ts")
 def j03_asof_forward(spark, sf_dir):
-    return J.asof(*_sides(spark, sf_dir), ["user_id"], direction="forward")
+    return J.asof(*_sides(spark, sf_dir), ["symbol"], direction="forward")
 
 
 @register(f"{BARS_SQL}, t AS (SELECT event_id, symbol, ts FROM ticks), f AS (SELECT symbol, ts + INTERVAL 1 HOUR AS ts, close FROM bars) SELECT t.event_id, t.symbol, t.ts, f.ts AS r_ts, f.close AS r_close FROM t ASOF LEFT JOIN f ON t.symbol = f.symbol AND t.ts >= f.ts")
@@ -56,15 +53,14 @@ def j04_asof_completed(spark, sf_dir):
     return J.asof_completed(t.select("event_id", "symbol", "ts"), clock_bars(t, "1 hour").select("symbol", "ts", "close"), ["symbol"], "1 HOUR")
 
 
-@register(f"""{ONLY_TICKS}, {_BUY},
-b AS (SELECT p.*, v.ts AS bts, v.px AS bpx FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts),
-f AS (SELECT p.event_id, v.ts AS fts, v.px AS fpx FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts <= v.ts),
-d AS (SELECT *, epoch_us(ts) - epoch_us(bts) AS db, epoch_us(fts) - epoch_us(ts) AS df FROM b JOIN f USING (event_id))
-SELECT event_id, user_id, ts, CASE WHEN db <= 86400000000 AND (df IS NULL OR db <= df) THEN bts WHEN df <= 86400000000 THEN fts END AS r_ts,
-  CASE WHEN db <= 86400000000 AND (df IS NULL OR db <= df) THEN bpx WHEN df <= 86400000000 THEN fpx END AS r_px FROM d""")
+@register(f"""{BARS_SQL}, p AS (SELECT symbol, ts FROM bars), b AS (SELECT p.*, t.ts AS bts, t.px AS bpx FROM p ASOF LEFT JOIN ticks t ON p.symbol = t.symbol AND p.ts >= t.ts),
+f AS (SELECT p.*, t.ts AS fts, t.px AS fpx FROM p ASOF LEFT JOIN ticks t ON p.symbol = t.symbol AND p.ts <= t.ts),
+d AS (SELECT *, epoch_us(ts) - epoch_us(bts) AS db, epoch_us(fts) - epoch_us(ts) AS df FROM b JOIN f USING (symbol, ts))
+SELECT symbol, ts, CASE WHEN db <= 600000000 AND (df IS NULL OR db <= df) THEN bts WHEN df <= 600000000 THEN fts END AS r_ts,
+  CASE WHEN db <= 600000000 AND (df IS NULL OR db <= df) THEN bpx WHEN df <= 600000000 THEN fpx END AS r_px FROM d""")
 def j05_asof_nearest(spark, sf_dir):
-    """The closest view of the same user within a day."""
-    return J.asof_nearest(*_sides(spark, sf_dir), ["user_id"], 86400)
+    """The tick closest to the start of each bar, within ten minutes."""
+    return J.asof_nearest(*_sides(spark, sf_dir), ["symbol"], 600)
 
 
 @register(f"{BARS_SQL}, d AS (SELECT symbol, date_trunc('day', ts) AS ts, arg_max(close, ts) AS close FROM bars GROUP BY ALL) SELECT b.symbol, b.ts, d.ts AS r_ts, d.close AS r_close FROM bars b ASOF LEFT JOIN d ON b.symbol = d.symbol AND b.ts >= d.ts")
@@ -117,12 +113,11 @@ def j11_date_set(spark, sf_dir):
     return b.join(days, "d", "left_semi").select("symbol", "ts", "close")
 
 
-@register("""WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09 AND l_tax < 0.03), s AS (SELECT CAST(unnest(range(min(d), max(d) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM d)
-SELECT d FROM s WHERE isodow(d) < 6 AND d NOT IN (SELECT d FROM d)""")
+@register("""WITH d AS (SELECT DISTINCT o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT p, CAST(unnest(range(min(d), max(d) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM d GROUP BY p)
+SELECT s.p AS o_orderpriority, s.d FROM s ANTI JOIN d ON s.p = d.p AND s.d = d.d WHERE isodow(s.d) < 6""")
 def j12_missing_weekdays(spark, sf_dir):
-    """Weekdays between the first and last date on which there is no row."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount > 0.09 and l_tax < 0.03")
-    return J.missing_weekdays(li, "l_shipdate")
+    """Weekdays between the first and last date of each priority on which there is no order."""
+    return J.missing_weekdays(table(spark, sf_dir, "orders"), "o_orderdate", ["o_orderpriority"])
 
 
 _PNL = "d AS (SELECT symbol, CAST(ts AS DATE) AS day, CAST(sum(CASE WHEN side = 'B' THEN px ELSE -px END) AS DOUBLE) / 4 AS pnl FROM ticks GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS i FROM d)"

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..operators.outliers import sampled
 from ..sources import store as S
+from ..sources.loader import append_session, load_bars, warm_up
+from ..sources.results import phase_report, resumable
 from ..sources.tape import daily_tape, table, ticks
-from .base import BARS_SQL, ONLY_TICKS, hour_bars, rounded
+from .base import BARS_SQL, ONLY_TICKS, hour_bars, rounded, shared_folder
 
 
 @register("SELECT event_id, make_timestamp(CAST(floor(epoch_us(CAST(ts AS TIMESTAMP)) / 1e6) AS BIGINT) * 1000000) AS ts FROM events")
@@ -20,9 +22,57 @@ def s02_epoch_seconds(spark, sf_dir):
 
 @register("SELECT year(o_orderdate) AS year, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997 GROUP BY ALL")
 def s04_year_range(spark, sf_dir):
-    """Rows of a range of years, counted by year."""
-    o = table(spark, sf_dir, "orders").where(F.year("o_orderdate").between(1995, 1997))
-    return o.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    """A store with a part for each year, of which a range of years is read; counted by year."""
+    path = shared_folder(spark, "years")
+    S.write_years(table(spark, sf_dir, "orders"), path, "o_orderdate")
+    o = S.read_years(spark, path, 1995, 1997)
+    return o.groupBy(F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+
+
+@register(f"""{BARS_SQL}, d AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars GROUP BY symbol, time_bucket(INTERVAL 4 HOUR, ts))
+SELECT * FROM d WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-18'""")
+def s05_load_bars(spark, sf_dir):
+    """Bars of a span of days made coarser from the yearly store, kept under their name, and read again from there."""
+    path = shared_folder(spark, "store")
+    S.write_years(hour_bars(spark, sf_dir).select("symbol", "ts", "open", "high", "low", "close", "volume"), path, "ts")
+    for _ in range(2):  # the second time from the cache
+        out = load_bars(spark, path, f"{path}-cache", "2024-01-03", "2024-01-17", "4 hours")
+    return out.select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+@register(f"{ONLY_TICKS}, e AS (SELECT *, ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS e FROM ticks) SELECT symbol, CAST(ts AS DATE) AS date, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM e WHERE epoch(e) % 86400 >= 34200 AND epoch(e) % 86400 < 57600 GROUP BY ALL")
+def s19_session_append(spark, sf_dir):
+    """Book rows of the regular session appended in two calls to a table with a part for each date."""
+    path = shared_folder(spark, "book")
+    t = ticks(spark, sf_dir).select("event_id", "symbol", "ts", "bid", "ask", "size")
+    for k in range(2):
+        append_session(t.where(F.col("event_id") % 2 == k), path)
+    return spark.read.parquet(path).groupBy("symbol", "date").agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
+
+
+@register(f"""{BARS_SQL}, e AS (SELECT *, ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS e FROM bars), d AS (SELECT symbol, time_bucket(INTERVAL 2 HOUR, ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM e WHERE epoch(e) % 86400 >= 34200 AND epoch(e) % 86400 < 57600 GROUP BY symbol, time_bucket(INTERVAL 2 HOUR, ts))
+SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM d) WHERE k <= 50""")
+def s23_warm_up(spark, sf_dir):
+    """The last fifty coarser bars of each symbol's sessions."""
+    return warm_up(hour_bars(spark, sf_dir).drop("vwap"), "2 hours", 50)
+
+
+@register(f"{BARS_SQL} SELECT symbol, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM bars GROUP BY symbol")
+def s26_resumable_results(spark, sf_dir):
+    """Results of each symbol written as JSON, beside a Markdown report, and read again instead of worked out anew."""
+    import json
+
+    path = shared_folder(spark, "report")
+    b = hour_bars(spark, sf_dir)
+    names = sorted(r["symbol"] for r in b.select("symbol").distinct().collect())
+    run = lambda s: b.where(F.col("symbol") == s).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    phase_report(spark, path, {"summary": run}, names)
+
+    def never(_):
+        raise AssertionError("worked out again")
+
+    found = resumable(spark, f"{path}/summary", names, never)
+    return spark.createDataFrame([(r["symbol"], r["n"], r["volume"]) for s in names for r in found[s]], "symbol string, n long, volume long")
 
 
 @register(f"{ONLY_TICKS} SELECT symbol, ts, px AS price, size FROM ticks")

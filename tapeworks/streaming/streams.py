@@ -34,7 +34,7 @@ def clock_bars(ticks: DataFrame, freq: str, lateness: str = "10 seconds") -> Dat
 
 
 def _ordered(key: str, frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(frames))
+    rows = pd.concat([f for f in frames if len(f)])
     return rows.sort_values("ts", kind="stable")
 
 
