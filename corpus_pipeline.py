@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.llm.bpe import round_trip
-from tapeworks.llm.common import new_path
+from tapeworks.llm.common import Packed, new_path
 from tapeworks.llm.linededup import dedup_lines
 from tapeworks.llm.neardup import near_duplicates
 from tapeworks.llm.quality import quality
@@ -34,9 +34,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: that with the smallest doc_id."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each component of near duplicates: that with the smallest doc_id; rows without a doc_id stay."""
+    own = Packed(docs, ("doc_id", "text"))
+    kept = near_duplicates(own.df.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return own.back(own.df.join(kept, own.df["doc_id"].eqNullSafe(F.col("_id")), "left_semi"), [])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
