@@ -25,9 +25,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share; one of our own only where none is set and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,6 +66,40 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+class Packed:
+    """A table whose own columns travel as one struct, so that no name of theirs meets one of ours.
+
+    ``df`` has a struct ``in`` of all columns (but those named like what is ``made``, which
+    give way) and the ``needed`` ones by their plain names; these are found whatever their
+    case, an exact name first.  ``back`` gives the columns their names again.
+    """
+
+    def __init__(self, df: DataFrame, needed: tuple[str, ...], made: tuple[str, ...] = ()) -> None:
+        names = df.columns
+        flat = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+        def at(c: str) -> int:
+            found = [i for i, n in enumerate(names) if n == c] or [i for i, n in enumerate(names) if n.lower() == c.lower()]
+            if not found:
+                raise ValueError(f"no column {c}")
+            return found[0]
+
+        places = {c: at(c) for c in needed}
+        self.keep = [i for i, n in enumerate(names) if i in places.values() or n.lower() not in made]
+        self.names, self.places = [names[i] for i in self.keep], places
+        self.df = flat.select(F.struct(*[F.col(f"c{i}") for i in self.keep]).alias("in"), *[F.col(f"c{i}").alias(c) for c, i in places.items()])
+
+    def kind(self) -> T.StructType:
+        return self.df.schema["in"].dataType
+
+    def back(self, df: DataFrame, made: list[str], instead: dict[str, str] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+        """The own columns under their names and then ``made``; ``instead`` names columns of ``df`` that replace needed ones."""
+        replaced = {self.places[c]: new for c, new in (instead or {}).items()}
+        left = [(i, n) for i, n in zip(self.keep, self.names, strict=True) if i not in [self.places[c] for c in drop]]
+        cols = [F.col(replaced[i]) if i in replaced else F.col(f"in.c{i}") for i, _ in left]
+        return df.select(*[c.alias(f"o{k}") for k, c in enumerate([*cols, *[F.col(m) for m in made]])]).toDF(*[n for _, n in left], *made)
+
+
 def column(batch, name: str) -> list:
     """A string column as UTF-8 bytes (None for null), without decoding."""
     import pyarrow as pa
@@ -119,8 +156,9 @@ def shingles(words: list[bytes], hashes: WordHashes, k: int = 5) -> np.ndarray:
 def connected(edges: DataFrame) -> DataFrame:
     """Component of every node of ``edges (a, b)``: rows (id, component), component the smallest id.
 
-    Alternating large-star and small-star steps; each round is written to the
-    shared folder, so neither lineage nor driver memory grows with the input.
+    Alternating large-star and small-star steps.  Each step is written to the shared
+    folder, so neither lineage nor driver memory grows with the input, and the join on a
+    component's centre is one of two plain tables, which a skew join can split.
     Self-loops and repeated edges are harmless; an empty table gives an empty one.
     """
     spark = edges.sparkSession
@@ -128,14 +166,15 @@ def connected(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "least")
+        # Every neighbour above a node is told of the node's smallest one: each edge tells its upper end.
+        large = written(e.join(least, "v").where("u <> m").select("u", F.col("m").alias("v")).distinct(), "large")
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_path(spark, e.table_path)
+        for table in (e, least, large):
+            drop_path(spark, table.table_path)
         e = after
         if state == seen or state[0] == 0:
             break

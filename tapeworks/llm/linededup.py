@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, extended, written
+from .common import Packed, bounded_batches, column, extended, written
 
 LINES = 3
 
@@ -70,30 +70,33 @@ def _spread(docs: DataFrame, k: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, k: int = LINES) -> DataFrame:
-    """Every row of ``docs`` with ``text`` after removal, n_lines (counted, before) and n_removed."""
-    bounded_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "_key", "_gone")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    """Every row of ``docs`` with ``text`` after removal, n_lines (counted, before) and n_removed.
+
+    Columns of ``docs`` are kept whatever their names, but for those named n_lines and n_removed.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    own = Packed(docs, ("doc_id", "text"), ("n_lines", "n_removed"))
+    docs = own.df
     spread = written(_spread(docs, k), "windows").select("h1", "h2", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", "i").alias("at"))
-    repeated = spread.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("at").alias("first")).where("c > 1").drop("c")
+    # Written, so that the join is one of two plain tables, which a skew join can split where a window is very frequent.
+    repeated = written(spread.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("at").alias("first")).where("c > 1").drop("c"), "repeated")
     later = spread.join(repeated, ["h1", "h2"]).where("not (at <=> first)")
-    gone = later.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")).agg(F.sort_array(F.collect_set("at.i")).alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
-    schema = extended(docs.schema, "n_lines long, n_removed long")
-    names = [c if c.lower() != "text" else c for c in keep]
+    gone = later.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.key").alias("_k")).agg(F.sort_array(F.collect_set("at.i")).alias("gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left").select("in", "text", "gone")
+    schema = extended(docs.select("in").schema, "new_text string, n_lines long, n_removed long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, removed = [], [], []
-            for text, starts in zip(column(b, "text"), b.column("_gone").to_pylist(), strict=True):
+            for text, starts in zip(column(b, "text"), b.column("gone").to_pylist(), strict=True):
                 n.append(len(counted(text)[1]) if text else 0)
                 text, less = without(text, starts, k) if starts else (text, 0)
                 texts.append(text)
                 removed.append(less)
-            out = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([out if c == "text" else b.column(c) for c in names] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column("in"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["in", "new_text", "n_lines", "n_removed"])
 
-    return joined.mapInArrow(run, schema)
+    return own.back(joined.mapInArrow(run, schema), ["n_lines", "n_removed"], {"text": "new_text"})
 
 
 #: The same rows in SQL: doc_id, n_lines, n_removed, text (documents whose rows have distinct doc_ids).

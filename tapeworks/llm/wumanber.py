@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, extended, written
+from .common import Packed, bounded_batches, column, extended, written
 
 WINDOW = 10
 #: Words of benchmark text whose tables one search holds.
@@ -116,15 +116,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _search(docs: DataFrame, block: list[tuple], window: int) -> DataFrame:
-    """``docs`` with n_words, hits array<struct<start, end>> (merged) and items array<string> (sorted)."""
+_HITS = "array<struct<start:int,end:int>>"
+
+
+def _search(docs: DataFrame, block: list[tuple], window: int, keep: list[str]) -> DataFrame:
+    """``keep`` of ``docs`` with n_words, hits array<struct<start, end>> (merged) and items array<string> (sorted)."""
     spark = docs.sparkSession
     names: dict = {}
     items = [(names.setdefault(str(i), len(names)), w) for i, w in block]
     ids = list(names)
     shared = spark.sparkContext.broadcast((items, ids))
     made: dict = {}
-    schema = extended(docs.schema, "n_words long, hits array<struct<start:int,end:int>>, items array<string>")
+    schema = extended(docs.select(*keep).schema, f"n_words long, hits {_HITS}, items array<string>")
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,31 +145,43 @@ def _search(docs: DataFrame, block: list[tuple], window: int) -> DataFrame:
                 n.append(len(words))
                 hits.append([{"start": s, "end": e} for s, e in merged(spans)])
                 found.append(sorted(ids[i] for i in items))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(hits, hit_type), pa.array(found, pa.list_(pa.string()))], names=[*b.schema.names, "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(hits, hit_type), pa.array(found, pa.list_(pa.string()))], names=[*keep, "n_words", "hits", "items"])
+
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def _joined(spans):
+    """Union of sorted half-open spans, on native functions."""
+
+    def step(a, x):
+        last = F.try_element_at(a, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joined = F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(wider))
+        return F.when(x["start"] <= last["end"], joined).otherwise(F.concat(a, F.array(x)))
 
-    return docs.mapInArrow(run, schema)
+    return F.aggregate(F.array_sort(spans), F.array().cast(_HITS), step)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, budget: int = PATTERN_WORDS) -> DataFrame:
     """Every row of ``docs`` with n_words, hits and items.
 
-    Columns of ``docs`` that have these names give way.
+    Columns of ``docs`` are kept whatever their names, but for those named like these three.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("n_words", "hits", "items")
+    made = ["n_words", "hits", "items"]
+    own = Packed(docs, ("text",), tuple(made))
     blocks = list(_first_two(_blocks(benchmark, budget)))
     if len(blocks) < 2:
-        return _search(docs, blocks[0] if blocks else [], window)
-    base = written(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+        return own.back(_search(own.df, blocks[0] if blocks else [], window, ["in"]), made)
+    base = written(own.df.withColumn("row", F.monotonically_increasing_id()), "docs")
     parts = None
     for block in _blocks(benchmark, budget):
-        part = written(_search(base.select("_row", "text"), block, window).drop("text").where("size(hits) > 0"), "spans")
+        part = written(_search(base, block, window, ["row"]).where("size(hits) > 0"), "spans")
         parts = part if parts is None else parts.union(part)
-    gather = F.udf(lambda xs: [{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for x in xs for s in x])], "array<struct<start:int,end:int>>")
-    joined = parts.groupBy("_row").agg(gather(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = _search(base, [], window).drop("hits", "items")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return counted.join(joined, "_row", "left").drop("_row").withColumn("hits", F.coalesce("hits", none)).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    joined = parts.groupBy("row").agg(_joined(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    counted = _search(base, [], window, ["in", "row"]).drop("hits", "items")
+    out = counted.join(joined, "row", "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HITS))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return own.back(out, made)
 
 
 def _first_two(blocks: Iterator) -> Iterator:

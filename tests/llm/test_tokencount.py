@@ -25,8 +25,23 @@ def test_parts_add_up(spark):
 
 
 def test_batches():
-    parts = ["abc", "", "x" * 50, "hello world"]
-    assert T.encode_lengths(parts, PATH, 1) == T.encode_lengths(parts, PATH) == [whole(p) for p in parts]
+    parts = [b"abc", b"", b"x" * 50, b"hello world"]
+    assert T.lengths(parts, PATH, 1) == T.lengths(parts, PATH) == [whole(p.decode()) for p in parts]
+    rng = random.Random(1)
+    sizes = [rng.randrange(1, 2000) for _ in range(500)] + [9000]
+    held = [sum(sizes[lo:hi]) for lo, hi in T.balanced(sizes, 5000)]
+    assert sum(held) == sum(sizes) and all(h <= 5000 or h == 9000 for h in held)
+    assert min(held[:-2]) > 0.5 * 5000 and T.balanced([], 10) == []
+
+
+def test_long_texts():
+    rng = random.Random(3)
+    parts = ["the ", "word  ", "é ", "\u3000 ", "日本", "\n ", "x" * 30 + " ", "<|endoftext|>"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(200))).encode()
+        got = T.pieces(text, 64)
+        assert b"".join(got) == text and sum(T.lengths(got, PATH)) == whole(text.decode())
+    assert T.pieces(b"x" * 1000, 64) == [b"x" * 1000] and len(T.pieces(b"ab " * 1000, 64)) > 40
 
 
 def test_empty(spark):

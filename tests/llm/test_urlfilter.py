@@ -42,9 +42,19 @@ def test_index_misses_nothing():
 def test_bounds(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert U.filter_urls(pages).collect() == []
-    with pytest.raises(ValueError):
-        U.filter_urls(pages, pattern_rules=[("x", ["x"], "x")] * (U.MAX_RULES + 1))
     assert U.filter_urls(pages, pattern_rules=[]).collect() == []
+    with pytest.raises(ValueError):
+        U.filter_urls(pages, pattern_rules=[("x", [], "x")])
+
+
+def test_rules_as_a_table(spark):
+    """Rules beyond the literals are joined, with the same result; and a table of more rules than may be literals."""
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(99, URLS[15])], "page_id long, url string")
+    rows = lambda **kw: sorted(map(tuple, U.filter_urls(pages, **kw).collect()), key=str)
+    assert rows(literals=0) == rows()
+    many = [(f"r{i}", [f"t{i}"], rf"/t{i}/") for i in range(5000)]
+    urls = spark.createDataFrame([("http://a.net/t4321/",), ("http://a.net/t4321",), ("http://a.net/x/t7/t5/",)], "url string")
+    assert sorted((r.url, r.pattern, r.verdict) for r in U.filter_urls(urls, pattern_rules=many).collect()) == [("http://a.net/t4321", None, "allow"), ("http://a.net/t4321/", "r4321", "block"), ("http://a.net/x/t7/t5/", "r5", "block")]
 
 
 def test_native(spark, sf):
