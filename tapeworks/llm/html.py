@@ -5,8 +5,9 @@ tags.  Elements that are never article text (menus, page headers and footers,
 sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts) are
 left out by element name, role, or a word of class or id.  Inside an article or main
 element a word is not enough: the part goes if its text is mostly links or less than half
-as dense as the article, and inline elements other than links stay.  Where words leave
-nothing of a page they don't count.  For each node the
+as dense as the article, and inline elements other than links stay; a few words that
+articles' own parts have as well (``_OPEN``) are judged so everywhere.  Where words leave
+nothing of a page they don't count, and where forms do, they are read.  For each node the
 composite density is
 
     C / T * log_b(C * T / (LC * LT)),  b = ln(C * LC / (C - LC) + LC_body * C / C_body + e)
@@ -63,6 +64,8 @@ _LAYOUT = ("has-", "with-", "no-", "is-", "without-")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Characters of a block, on average, from which linked blocks inside an article are a list and not a menu.
 LABEL = 10
+#: Words that articles' own parts have as well; outside an article element, too, they are judged by links and density.
+_OPEN = frozenset("related search share sharing social widget widgets".split())
 _READERS = frozenset("comment comments disqus replies reply".split())
 
 
@@ -80,9 +83,9 @@ class Node:
         self.doubt = False  # inside an article, with a class word of what is left out
 
 
-def _noise(name: str, attrs: str, inside: bool) -> str:
-    """Why an element is never article text, or "". inside: it stands in an article or main element."""
-    if name in _NEVER or name == "header" and not inside:
+def _noise(name: str, attrs: str, inside: bool, forms: bool = False) -> str:
+    """Why an element is never article text, or "". inside: it stands in an article or main element; forms: they may be."""
+    if name in _NEVER and not (forms and name in ("form", "fieldset")) or name == "header" and not inside:
         return "element"
     if not attrs or name in ("html", "body", "main"):
         return ""
@@ -95,15 +98,15 @@ def _noise(name: str, attrs: str, inside: bool) -> str:
             words = {w for token in value.split() if not token.startswith(_LAYOUT) for w in _WORD.findall(token)}
             if not _READERS.isdisjoint(words):
                 return "readers"
-            if name != "article" and not _NOISE.isdisjoint(words):
-                return "words"
+            if name != "article" and (hit := _NOISE & words):
+                return "open" if hit <= _OPEN else "words"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "hidden"
     return ""
 
 
-def parse(html: str, by_words: bool = True) -> Node:
-    """The tree of blocks below a body node; by_words: class words leave elements out."""
+def parse(html: str, by_words: bool = True, forms: bool = False) -> Node:
+    """The tree of blocks below a body node; by_words: class words leave elements out; forms: what stands in forms is read."""
     body = node = Node("body", None)
     skip: list[str] = []  # open elements inside one that is left out
     reason, began, wanted, seen = "", 0, -1, False  # why and where that began; where one must stay; an article was seen
@@ -179,8 +182,9 @@ def parse(html: str, by_words: bool = True) -> Node:
                         break
                     up = up.parent
         inside = node.inside
-        reason = _noise(name, m[3], inside) if m.start() != wanted else ""
-        doubt = reason == "words" and inside and name != "a"  # judged when all is counted
+        reason = _noise(name, m[3], inside, forms) if m.start() != wanted else ""
+        doubt = (reason == "words" and inside or reason == "open") and name != "a"  # judged when all is counted
+        reason = "words" if reason == "open" else reason
         if reason and not doubt and (by_words or reason != "words"):
             if name not in _VOID and not m[3].endswith("/"):
                 skip.append(name)
@@ -231,7 +235,7 @@ def _density(n: Node, ratio: float) -> float:
 
 
 def _settle(doubted: list[Node], body: Node) -> None:
-    """Take out parts of an article that a class word and their links or thin text both mark; parents come first."""
+    """Take out parts that a class word and their links or thin text (against the article, or the page) both mark; parents come first."""
     ratio = body.link_chars / max(1, body.chars)
     gone: set[int] = set()
     for n in doubted:
@@ -239,6 +243,7 @@ def _settle(doubted: list[Node], body: Node) -> None:
         while up is not None and id(up) not in gone:
             top = up if up.name in ("article", "main") else top
             up = up.parent
+        top = top or body
         if up is not None or 2 * n.link_chars <= n.chars and 2 * _density(n, ratio) >= _density(top, ratio):
             continue
         gone.add(id(n))
@@ -380,12 +385,12 @@ def main_text(html: str | None) -> str:
     """The article of a page."""
     if not html:
         return ""
-    body = parse(html)
-    measure(body)
-    if not body.chars:
-        body = parse(html, by_words=False)
+    for by_words, forms in ((True, False), (False, False), (False, True)):
+        body = parse(html, by_words, forms)
         measure(body)
-    if not body.chars:
+        if body.chars:
+            break
+    else:
         return ""
     return "\n".join(t for n in content(body) for t in blocks(n))
 

@@ -2,16 +2,19 @@
 
 1. Each set gets ``PERMS`` minima.  Bands of ``ROWS`` minima give candidate buckets;
    the low ``BITS`` bits of each minimum are packed into the signature.
-2. Buckets are found with one shuffle of (key, id).  A bucket is cut into chunks and
-   dealt out as blocks of two chunks, so none is ever gathered in one task.
+2. Sizes of buckets are partial aggregates.  A bucket is cut into chunks, each dealt out
+   as a block of its own together with the bucket's first member.
 3. Inside a block, equal b-bit values are counted on the packed words and corrected
    for collisions, (match - 2^-b) / (1 - 2^-b).  Pairs at ``CANDIDATE`` or more, far
    below the threshold asked for, join the block's members into spanning trees; only
-   the trees' edges leave it, never all pairs.
+   the trees' edges leave it, never all pairs.  Members that are joined with the first one
+   are done: whatever links with them is in the same component.  Those that aren't go
+   into every other block of their bucket once more, and only they do.  So a bucket of n
+   copies costs n rows, and no link is left out.
 4. Components of those edges are groups that hold every link.  The groups' full sets
-   are read again and dealt out as blocks of two chunks in the same way; inside a
-   block the sizes of all intersections are exact, and again trees of true links
-   leave it.  Their components are the classes.
+   are read again and dealt out in the same way; inside a block the sizes of all
+   intersections are exact, and again trees of true links leave it.  Their components
+   are the classes.
 
 A pair at the threshold shares no band with probability (1 - t^ROWS)^BANDS (5e-6 at
 0.75) and falls below ``CANDIDATE`` with about 3e-7; no other step loses a link.
@@ -23,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, written
@@ -143,13 +146,33 @@ def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.r_[np.flatnonzero(new), table.num_rows]
 
 
-_BLOCK = ["key", "i", "j"]
+_BLOCK = ["key", "i"]
 
 
-def _edges_out(ids: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = (list(x) for x in zip(*pairs, strict=True)) if pairs else ([], [])
-    take = lambda x: ids.take(pa.array(x, pa.int64())).combine_chunks()
-    return pa.RecordBatch.from_arrays([take(a), take(b)], names=["a", "b"])
+def _out(table: pa.Table, bounds: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Edges (a, b) of row numbers, and rows (key, a, no b) of members of cut buckets that aren't joined with the first member."""
+    lead, chunks = table.column("lead").to_numpy(), table.column("chunks").to_numpy()
+    rest: list[int] = []
+    if (chunks > 1).any():
+        up = np.arange(table.num_rows)
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return int(x)
+
+        for x, y in pairs:
+            up[top(x)] = top(y)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if chunks[lo] > 1 and lead[lo:hi].any():
+                done = top(lo + int(lead[lo:hi].argmax()))
+                rest += [r for r in range(lo, hi) if top(r) != done]
+    a = [x for x, _ in pairs] + rest
+    b = pa.array([*[y for _, y in pairs], *[None] * len(rest)], pa.int64())
+    ids, key = table.column("id").combine_chunks(), table.column("key").combine_chunks()
+    take = pa.array(a, pa.int64())
+    return pa.RecordBatch.from_arrays([key.take(take), ids.take(take), ids.take(b)], names=["key", "a", "b"])
 
 
 def _signature_trees(perms: int) -> Callable:
@@ -169,7 +192,7 @@ def _signature_trees(perms: int) -> Callable:
                 if hi - lo > 2:
                     own = sig[lo:hi]
                     pairs += [(lo + x, lo + y) for x, y in spanning(hi - lo, lambda i, others, own=own: near(own[others], own[i]))]
-            yield _edges_out(table.column("id"), pairs)
+            yield _out(table, bounds, pairs)
 
     return run
 
@@ -235,29 +258,51 @@ def _exact_trees(percent: int) -> Callable:
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if hi - lo > 1:
                     pairs += [(lo + x, lo + y) for x, y in set_trees([values[at[r] : at[r + 1]] for r in range(lo, hi)], percent)]
-            yield _edges_out(table.column("id"), pairs)
+            yield _out(table, bounds, pairs)
 
     return run
 
 
-def in_blocks(members: DataFrame, keep: list[str]) -> DataFrame:
-    """``members (key, id, chunks, ...)`` dealt out as (key, i, j) blocks of two chunks, sorted within partitions."""
+def trees(members: DataFrame, keep: list[str], find: Callable, name: str) -> DataFrame:
+    """Edges (a, b) of spanning trees of each bucket of ``members (key, id, chunks, first, ...)``, by blocks of chunks.
+
+    ``first`` is the bucket's first id.  The rows that a block hands back meet all other
+    chunks of their bucket in a second pass.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+    key, kind = kinds["key"], kinds["id"]
+    schema = f"key {key}, a {kind}, b {kind}"
+    columns = ["key", "i", "id", "chunks", "lead", *keep]
     own = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks"))).otherwise(F.lit(0)).cast("int")
-    k = F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))
-    dealt = members.withColumn("_c", own).withColumn("_k", k)
-    dealt = dealt.select("key", F.least("_c", "_k").alias("i"), F.greatest("_c", "_k").alias("j"), "id", *keep)
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    every = F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))
+    lead = F.col("id") == F.col("first")
+
+    def dealt(*parts: DataFrame) -> DataFrame:
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return rows.repartition("key", "i").sortWithinPartitions("key", "i", "id").mapInArrow(find, schema)
+
+    at = F.explode(F.when(lead & (F.col("chunks") > 1), F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).otherwise(F.array(own)))
+    found = written(dealt(members.withColumn("lead", lead).withColumn("i", at).select(*columns)), f"{name}-trees")
+    edges = found.where("b is not null").select("a", "b")
+    rest = found.where("b is null").select("key", F.col("a").alias("id")).distinct()
+    if rest.isEmpty():
+        return edges
+    cut = members.where(F.col("chunks") > 1)
+    again = cut.join(rest, ["key", "id"], "left_semi").withColumn("i", every).withColumn("lead", F.lit(False))
+    here = cut.join(rest.select("key").distinct(), "key", "left_semi").join(rest, ["key", "id"], "left_anti").withColumn("i", own).withColumn("lead", F.lit(False))
+    more = written(dealt(again.select(*columns), here.select(*columns)).where("b is not null").select("a", "b"), f"{name}-rest")
+    return edges.union(more)
 
 
 def weak_edges(features: DataFrame, perms: int = PERMS) -> DataFrame:
     """Edges (a, b) of trees of pairs that may be similar, of ``features (id, bands, sig)``."""
-    kind = features.schema["id"].dataType.simpleString()
     keys = features.select("id", F.explode("bands").alias("key"))
-    w = Window.partitionBy("key")
-    found = keys.withColumn("n", F.count("*").over(w)).where("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(SIGNATURES)).cast("int").alias("chunks")
-    members = found.select("key", "id", chunks).join(features.select("id", "sig").hint("merge"), "id")
-    return in_blocks(members, ["sig"]).mapInArrow(_signature_trees(perms), f"a {kind}, b {kind}")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    sizes = written(sizes.select("key", F.ceil(F.col("n") / F.lit(SIGNATURES)).cast("int").alias("chunks"), "first"), "buckets")
+    members = keys.join(sizes.hint("merge"), "key").join(features.select("id", "sig").hint("merge"), "id")
+    return trees(members, ["sig"], _signature_trees(perms), "weak")
 
 
 def classes(features: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75, perms: int = PERMS) -> DataFrame:
@@ -273,8 +318,7 @@ def classes(features: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     weak = weak.select(F.col("id").alias("_h"), F.col("component").alias("group"))
     members = written(features.select("id", "n", short.alias("_h")).join(weak.hint("merge"), "_h").select("id", "n", "group"), "groups")
     chunks = F.ceil(F.greatest(F.count("*") / F.lit(SETS), F.sum("n") / F.lit(SHINGLES))).cast("int")
-    sizes = members.groupBy("group").agg(chunks.alias("chunks"))
-    placed = members.join(sizes, "group").select("id", F.col("group").alias("key"), "chunks")
+    sizes = written(members.groupBy("group").agg(chunks.alias("chunks"), F.min("id").alias("first")), "sizes")
+    placed = members.join(sizes, "group").select("id", F.col("group").alias("key"), "chunks", "first")
     sets = sets_of(members.select("id")).join(placed, "id")
-    edges = in_blocks(sets, ["shingles"]).mapInArrow(_exact_trees(percent), f"a {kind}, b {kind}")
-    return connected(edges)
+    return connected(trees(sets, ["shingles"], _exact_trees(percent), "links"))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -6,7 +8,7 @@ from tapeworks.llm.common import connected
 from tapeworks.llm.neardup import near_duplicates
 from tapeworks.llm.queries import queries
 
-from .data import SCHEMA, components, near_rows, shingle_set
+from .data import SCHEMA, components, edited, near_rows, shingle_set, words
 
 
 def check(docs):
@@ -37,6 +39,15 @@ def test_small_chunks(spark, monkeypatch):
     check(spark.createDataFrame(near_rows(5), SCHEMA))
 
 
+def test_one_group_of_many_near_copies(spark):
+    """Rows that go into blocks grow with a group, not with its square: nearly all members are joined with the first one."""
+    rng = random.Random(11)
+    base = words(rng, 60, 5000)
+    rows = [(i, " ".join(edited(rng, base, 1) if i else base)) for i in range(3000)] + [(5000 + i, " ".join(words(rng, 60, 5000))) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 + i for i in range(50)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_estimate(seed):
     rng = np.random.default_rng(seed)
