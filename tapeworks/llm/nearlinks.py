@@ -8,9 +8,10 @@
    for collisions, (match - 2^-b) / (1 - 2^-b).  Pairs at ``CANDIDATE`` or more, far
    below the threshold asked for, join the block's members into spanning trees; only
    the trees' edges leave it, never all pairs.  Members that are joined with the first one
-   are done: whatever links with them is in the same component.  Those that aren't go
-   into every other block of their bucket once more, and only they do.  So a bucket of n
-   copies costs n rows, and no link is left out.
+   are done: whatever links with them is in the same component.  Those that aren't are
+   cut into chunks of their own, and each of these meets each chunk of the bucket (or all
+   chunks meet each other, where most members are left).  So a bucket of n copies costs
+   n rows, no block holds more than two chunks, and no link is left out.
 4. Components of those edges are groups that hold every link.  The groups' full sets
    are read again and dealt out in the same way; inside a block the sizes of all
    intersections are exact, and again trees of true links leave it.  Their components
@@ -146,7 +147,7 @@ def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.r_[np.flatnonzero(new), table.num_rows]
 
 
-_BLOCK = ["key", "i"]
+_BLOCK = ["key", "i", "j"]
 
 
 def _out(table: pa.Table, bounds: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -263,36 +264,43 @@ def _exact_trees(percent: int) -> Callable:
     return run
 
 
-def trees(members: DataFrame, keep: list[str], find: Callable, name: str) -> DataFrame:
+def trees(members: DataFrame, keep: list[str], find: Callable, size: int, name: str) -> DataFrame:
     """Edges (a, b) of spanning trees of each bucket of ``members (key, id, chunks, first, ...)``, by blocks of chunks.
 
-    ``first`` is the bucket's first id.  The rows that a block hands back meet all other
-    chunks of their bucket in a second pass.
+    ``first`` is the bucket's first id; ``size``: members of a chunk.
     """
     kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
     key, kind = kinds["key"], kinds["id"]
     schema = f"key {key}, a {kind}, b {kind}"
-    columns = ["key", "i", "id", "chunks", "lead", *keep]
-    own = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks"))).otherwise(F.lit(0)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))
+    columns = ["key", "i", "j", "id", "chunks", "lead", *keep]
+    chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
+    chunks = F.col("chunks")
+    own = F.when(chunks > 1, chunk(chunks)).otherwise(F.lit(0))
     lead = F.col("id") == F.col("first")
 
-    def dealt(*parts: DataFrame) -> DataFrame:
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return rows.repartition("key", "i").sortWithinPartitions("key", "i", "id").mapInArrow(find, schema)
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(find, schema)
 
-    at = F.explode(F.when(lead & (F.col("chunks") > 1), F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).otherwise(F.array(own)))
-    found = written(dealt(members.withColumn("lead", lead).withColumn("i", at).select(*columns)), f"{name}-trees")
+    at = F.explode(F.when(lead & (chunks > 1), upto(chunks)).otherwise(F.array(own)))
+    found = written(dealt(members.withColumn("lead", lead).withColumn("i", at).withColumn("j", F.lit(-1))), f"{name}-trees")
     edges = found.where("b is not null").select("a", "b")
     rest = found.where("b is null").select("key", F.col("a").alias("id")).distinct()
     if rest.isEmpty():
         return edges
-    cut = members.where(F.col("chunks") > 1)
-    again = cut.join(rest, ["key", "id"], "left_semi").withColumn("i", every).withColumn("lead", F.lit(False))
-    here = cut.join(rest.select("key").distinct(), "key", "left_semi").join(rest, ["key", "id"], "left_anti").withColumn("i", own).withColumn("lead", F.lit(False))
-    more = written(dealt(again.select(*columns), here.select(*columns)).where("b is not null").select("a", "b"), f"{name}-rest")
+    left = written(rest.groupBy("key").agg(F.count("*").alias("left")), f"{name}-left")
+    cut = members.where(chunks > 1).join(left, "key").withColumn("lead", F.lit(False)).withColumn("own", own)
+    most = F.col("left") > chunks * size / 3
+    # Where most are left: each member once with each chunk, i up to j.
+    k = F.explode(upto(chunks))
+    full = cut.where(most).withColumn("k", k).withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k"))
+    # Else: those that are left by chunks of their own (i), all members by theirs (j).
+    parts = F.ceil(F.col("left") / F.lit(size))
+    few = cut.where(~most)
+    those = few.join(rest, ["key", "id"], "left_semi").withColumn("i", chunk(parts)).withColumn("j", k)
+    all_ = few.withColumn("i", F.explode(upto(parts))).withColumn("j", F.col("own"))
+    every = full.select(*columns).unionByName(those.select(*columns)).unionByName(all_.select(*columns))
+    more = written(dealt(every).where("b is not null").select("a", "b"), f"{name}-more")
     return edges.union(more)
 
 
@@ -302,7 +310,7 @@ def weak_edges(features: DataFrame, perms: int = PERMS) -> DataFrame:
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     sizes = written(sizes.select("key", F.ceil(F.col("n") / F.lit(SIGNATURES)).cast("int").alias("chunks"), "first"), "buckets")
     members = keys.join(sizes.hint("merge"), "key").join(features.select("id", "sig").hint("merge"), "id")
-    return trees(members, ["sig"], _signature_trees(perms), "weak")
+    return trees(members, ["sig"], _signature_trees(perms), SIGNATURES, "weak")
 
 
 def classes(features: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75, perms: int = PERMS) -> DataFrame:
@@ -321,4 +329,4 @@ def classes(features: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     sizes = written(members.groupBy("group").agg(chunks.alias("chunks"), F.min("id").alias("first")), "sizes")
     placed = members.join(sizes, "group").select("id", F.col("group").alias("key"), "chunks", "first")
     sets = sets_of(members.select("id")).join(placed, "id")
-    return connected(trees(sets, ["shingles"], _exact_trees(percent), "links"))
+    return connected(trees(sets, ["shingles"], _exact_trees(percent), SETS, "links"))
