@@ -49,13 +49,11 @@ class Sequence:
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
-        at = i * self.bits
-        got = self.low[(at >> 3)[:, None] + np.arange(9)]
-        word = np.ascontiguousarray(got[:, :8]).view(np.uint64).ravel()
-        shift = (at & 7).astype(np.uint64)
-        word = word >> shift
-        spill = got[:, 8].astype(np.uint64) << (np.uint64(63) - shift) << np.uint64(1)
-        return (word | spill) & np.uint64((1 << self.bits) - 1)
+        # A value lies in at most two of the 64-bit words; the array has whole words and two to spare.
+        words, at = self.low.view(np.uint64), i * self.bits
+        k, shift = at >> 6, (at & 63).astype(np.uint64)
+        spill = words[k + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        return ((words[k] >> shift) | spill) & np.uint64((1 << self.bits) - 1)
 
     def _in_word(self, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
         parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)

@@ -8,11 +8,14 @@ The trie is cut into shards by the context's hash.  In a shard, level one is the
 monotone sequence of context hashes; monotone pointers tell where each context's
 successors begin in level two, which is again monotone as (context's index,
 successor's hash).  A successor is looked for between its context's pointers only.
-Level two keeps a quantised log probability of the pair, -log2(n / N) in steps of
-1/1024 up to the constant log2(N / UNIT), as N is only known once all is counted; levels are files in the shared folder that workers map into memory.  Words'
-own counts are kept exactly, in shards by the word's hash.
+Level two keeps the quantised smoothed probability of each pair, a(c, w) = n(c, w) /
+(n(c) + MU) as -log2 in steps of 1/1024, which interpolation completes with the share
+that is left to the word's own probability.  Shards are built with counts first; once
+all words are counted each is finished with its contexts' counts.  Levels are files in
+the shared folder that workers map into memory.  Words' own counts are kept exactly, in
+shards by the word's hash.
 
-    p(w | c) = (n(c, w) + MU * p(w)) / (n(c) + MU),   p(w) = (n(w) + 1) / (N + 1 * (V + 1))
+    p(w | c) = a(c, w) + MU / (n(c) + MU) * p(w),   p(w) = (n(w) + 1) / (N + 1 * (V + 1))
 
 Each task counts its own words and pairs first, and sends a block of bytes for each
 shard.  A context with ``HOT`` or more successors in a task sends them to sixteen
@@ -35,13 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, column, new_path, scan_bytes
+from .common import WordHashes, bounded_batches, column, drop_path, new_path, scan_bytes, written
 from .eliasfano import Sequence, from_buffer, sequence, to_bytes
 
 MU = 200.0
 HOT, SPREAD = 4096, 16
-#: Nominal number of tokens that quantised probabilities refer to.
-UNIT = 1 << 48
 #: Tokens that a worker counts, or scores, at a time.
 COUNT_TOKENS, SCORE_TOKENS = 4_000_000, 1_000_000
 #: Bytes of input for each shard.
@@ -180,12 +181,12 @@ def word_shard(blocks: list[dict]) -> tuple[bytes, int, int]:
     return to_bytes(Sequence.build(key >> np.uint64(1), 1 << 63).parts("words") | {"n": n}), len(key), int(n.sum())
 
 
-def quantised(n: np.ndarray) -> np.ndarray:
-    return np.rint(-np.log2(n / UNIT) * 1024).astype(np.uint16)
+def quantised(p: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log2(p) * 1024).astype(np.uint16)
 
 
 def pair_shard(blocks: list[dict]) -> tuple[bytes, int, int]:
-    """File of a shard of pairs: the two levels, pointers and quantised probabilities."""
+    """File of a shard of pairs: the two levels, pointers and counts."""
     ctx = np.concatenate([np.repeat(b["ctx"], b["run"]) for b in blocks])
     succ = np.concatenate([b["succ"].reshape(-1, 5) for b in blocks])
     succ = np.ascontiguousarray(np.pad(succ, ((0, 0), (0, 3)))).view(np.uint64).ravel()
@@ -196,7 +197,7 @@ def pair_shard(blocks: list[dict]) -> tuple[bytes, int, int]:
     parts = Sequence.build(ctx[starts] >> np.uint64(1), 1 << 63).parts("contexts")
     parts |= Sequence.build(np.r_[starts, len(ctx)], len(ctx) + 1).parts("pointers")
     parts |= Sequence.build((node << np.uint64(40)) | succ, max(1, len(starts)) << 40).parts("successors")
-    return to_bytes(parts | {"code": quantised(n)}), len(ctx), int(n.sum())
+    return to_bytes(parts | {"n": n.astype(np.uint32)}), len(ctx), int(n.sum())
 
 
 def _build(path: str):
@@ -206,12 +207,30 @@ def _build(path: str):
         kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
         blocks = [from_buffer(x) for x in pdf["data"]]
         data, size, n = word_shard(blocks) if kind == 0 else pair_shard(blocks)
-        save(f"{path}/{'words' if kind == 0 else 'pairs'}-{shard}", data)
+        save(f"{path}/{'words' if kind == 0 else 'counts'}-{shard}", data)
         return pd.DataFrame({"kind": [kind], "shard": [shard], "size": [size], "n": [n]})
 
     return run
 
 
+def _finish(path: str, shards: int, mu: float):
+    """Shards of counts become shards of quantised smoothed probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(Model(path, shards, 0, 0, mu))
+        for b in batches:
+            for shard in b.column("shard").to_pylist():
+                a = load(f"{path}/counts-{shard}")
+                contexts, pointers = sequence(a, "contexts"), sequence(a, "pointers")
+                ends = pointers.get(np.arange(contexts.n + 1)).astype(np.int64)
+                own = np.repeat(reader.context_counts(contexts.get(np.arange(contexts.n))), np.diff(ends))
+                done = {k: v for k, v in a.items() if k != "n"} | {"code": quantised(a["n"] / (own + mu))}
+                save(f"{path}/pairs-{shard}", to_bytes(done))
+            yield b
+
+    return run
+
+
 class Model:
     """Where a trie is, and its totals: tokens N, distinct words V."""
 
@@ -223,10 +242,18 @@ def train(docs: DataFrame, shards: int | None = None, mu: float = MU) -> Model:
     """The trie of all texts of ``docs``, written to the shared folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shards = shards or max(16, min(65536, scan_bytes(docs) // SHARD_BYTES))
+    if not shards:
+        size = scan_bytes(docs)
+        if size > 1 << 55:  # Spark's way to say that it doesn't know
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(16, size // SHARD_BYTES)
     path = new_path(spark, "trie")
     blocks = docs.select("text").mapInArrow(_counted(shards), "kind int, shard int, data binary")
-    built = blocks.groupBy("kind", "shard").applyInPandas(_build(path), "kind int, shard int, size long, n long")
+    built = written(blocks.groupBy("kind", "shard").applyInPandas(_build(path), "kind int, shard int, size long, n long"), "shards")
+    pairs = built.where("kind = 1").select("shard").repartition(max(1, min(shards, 10_000)), "shard")
+    done = written(pairs.mapInArrow(_finish(path, shards, mu), "shard int"), "finished")
+    for shard in done.select("shard").toLocalIterator():
+        drop_path(spark, f"{path}/counts-{shard[0]}")
     sums = {r["kind"]: r for r in built.groupBy("kind").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()}
     return Model(path, shards, sums[0]["n"] if sums else 0, sums[0]["size"] if sums else 0, mu)
 
@@ -262,6 +289,15 @@ class Reader:
                 out[rows[at >= 0]] = f[1][at[at >= 0]]
         return out
 
+    def context_counts(self, halves: np.ndarray) -> np.ndarray:
+        """Training count of contexts given without their lowest bit, as a shard keeps them; the beginning has that of the end."""
+        out = np.zeros(len(halves), np.int64)
+        for low in (0, 1):
+            full = (halves << np.uint64(1)) | np.uint64(low)
+            full[halves == np.uint64(_BEGIN >> 1)] = np.uint64(_END)
+            out = np.maximum(out, self.counts(full))
+        return out
+
     def _pairs(self, ctx: np.ndarray, succ: np.ndarray, of: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ctx), np.float64)
         for rows in _by(of):
@@ -277,11 +313,11 @@ class Reader:
                 rows, back = rows[ok], back[ok]
                 x = (node[back].astype(np.uint64) << np.uint64(40)) | succ[rows]
                 at = successors.find(x, lo[back], hi[back])
-                out[rows[at >= 0]] = np.exp2(code[at[at >= 0]] / -1024.0) * UNIT
+                out[rows[at >= 0]] = np.exp2(code[at[at >= 0]] / -1024.0)
         return out
 
     def pairs(self, ctx: np.ndarray, word: np.ndarray, ctx_count: np.ndarray) -> np.ndarray:
-        """Count of each pair, as its quantised probability gives it."""
+        """Smoothed probability of each pair; a pair in two shards has the sum."""
         succ, s = word & _LOW40, np.uint64(self.m.shards)
         home = (ctx % s).astype(np.int64)
         out = self._pairs(ctx, succ, home)
@@ -307,7 +343,7 @@ class Reader:
         before[starts] = begin
         pairs, back = np.unique((before << 32) | where, return_inverse=True)
         c, w = pairs >> 32, pairs & 0xFFFFFFFF
-        p = (self.pairs(vocab[c], vocab[w], count_as_context[c]) + m.mu * unit[w]) / (count_as_context[c] + m.mu)
+        p = self.pairs(vocab[c], vocab[w], count_as_context[c]) + m.mu * unit[w] / (count_as_context[c] + m.mu)
         total = lambda x: np.add.reduceat(x, starts)
         return total((count > 0)[where].astype(np.int64)), total(np.log10(unit)[where]), total(np.log10(p)[back])
 
