@@ -45,7 +45,7 @@ def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import dedup_passages
 
     out = dedup_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_repeated", "n_removed", "n_words_removed", (F.col("n_removed") > 0).alias("changed"), "text")
+    return out.select("doc_id", "n_words", "n_repeated", "n_shared", "n_removed", "n_words_removed", (F.col("n_removed") > 0).alias("changed"), "text")
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
