@@ -17,16 +17,19 @@ def _merged(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_fir
     return l.unionByName(r), values
 
 
+def _carried(by: list[str], backward: bool):
+    """The last right row seen in the direction of time; forward too the frame grows from the
+    partition's first row, since a frame that ends at its last row is read anew for every row."""
+    order = [F.asc("_t"), F.asc("_side")] if backward else [F.desc("_t"), F.desc("_side")]
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last("_right", ignorenulls=True).over(w)
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], ts: str = "ts", prefix: str = "r_", direction: str = "backward") -> DataFrame:
     """Every left row with the last right row at or before it (``forward``: the first at or after it)."""
     backward = direction == "backward"
     both, values = _merged(left, right, by, ts, backward)
-    w = Window.partitionBy(*by).orderBy("_t", "_side")
-    if backward:
-        seen = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        seen = F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = both.withColumn("_right", seen).where("_left is not null")
+    out = both.withColumn("_right", _carried(by, backward)).where("_left is not null")
     return out.select("_left.*", *[F.col(f"_right.{v}").alias(prefix + v) for v in values])
 
 
@@ -39,9 +42,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance_sec
     """Every left row with the closest right row within a tolerance; ties take the earlier one."""
     values = [c for c in right.columns if c not in by]
     both, _ = _merged(left, right, by, ts, True)
-    w = Window.partitionBy(*by).orderBy("_t", "_side")
-    both = both.withColumn("_b", F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_f", F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_left is not null")
+    both = both.withColumn("_b", _carried(by, True))
+    both = both.withColumn("_f", _carried(by, False)).where("_left is not null")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     before, after = micros("_t") - micros(f"_b.{ts}"), micros(f"_f.{ts}") - micros("_t")
     limit = F.lit(tolerance_seconds * 1_000_000)

@@ -85,7 +85,8 @@ class _Predicted:
 def predicted_trades(bars: DataFrame, by: list[str], threshold: float = 0.6, take_ticks: int = 8, stop_ticks: int = 6, horizon: int = 300, cooldown: int = 30, max_position: int = 1, slip_ticks: int = 1) -> DataFrame:
     """Trades of class probabilities (p_up, p_down) over bars (by, ts, day, high, low, close): entry at the close, stop before target."""
     p = {"threshold": threshold, "take_ticks": take_ticks, "stop_ticks": stop_ticks, "horizon": horizon, "cooldown": cooldown, "max_position": max_position, "slip_ticks": slip_ticks}
-    ahead = F.count("*").over(Window.partitionBy(*by).orderBy("ts").rowsBetween(1, Window.unboundedFollowing))
+    w = Window.partitionBy(*by)
+    ahead = F.count("*").over(w) - F.row_number().over(w.orderBy("ts"))
     rows = bars.select(*by, "ts", "day", "high", "low", "close", "p_up", "p_down", (ahead + 1).alias("ahead"))
     return folded(rows, by, lambda: _Predicted(p), TRADES)
 
