@@ -11,8 +11,6 @@ import struct
 
 import numpy as np
 
-_BYTES = np.arange(256, dtype=np.uint8)
-_POP = np.bitwise_count(_BYTES).astype(np.int64)
 #: Position of the r-th set bit of a byte.
 _SELECT = np.zeros((256, 8), np.int64)
 for _b in range(256):
@@ -56,11 +54,15 @@ class Sequence:
         return ((words[k] >> shift) | spill) & np.uint64((1 << self.bits) - 1)
 
     def _in_word(self, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_POP[parts], axis=1)
-        byte = (upto <= rank[:, None]).sum(axis=1)
-        before = np.where(byte > 0, upto[np.arange(len(byte)), byte - 1], 0)
-        return byte * 8 + _SELECT[parts[np.arange(len(byte)), byte], rank - before]
+        at = np.zeros(len(words), np.int64)
+        for half in (32, 16, 8):
+            low = words & np.uint64((1 << half) - 1)
+            ones = np.bitwise_count(low).astype(np.int64)
+            up = rank >= ones
+            rank = rank - np.where(up, ones, 0)
+            words = np.where(up, words >> np.uint64(half), low)
+            at += up * half
+        return at + _SELECT[words.astype(np.int64), rank]
 
     def select0(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero of the high part."""
@@ -81,9 +83,17 @@ class Sequence:
     def bucket(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices [a, b) of the values that share the high bits of each x."""
         h = (x >> np.uint64(self.bits)).astype(np.int64)
-        b = self.select0(h) - h
-        a = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) - h + 1, 0)
-        return a, b
+        begin = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) + 1, 0)
+        # The run of ones from there on, read from 64 bits; longer ones end at the next zero.
+        k, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        after = self.high[np.minimum(k + 1, len(self.high) - 1)]
+        bits = (self.high[k] >> shift) | (after << (np.uint64(63) - shift) << np.uint64(1))
+        run = np.bitwise_count(bits & ~(bits + np.uint64(1))).astype(np.int64)
+        long = np.flatnonzero(bits == np.uint64(0xFFFFFFFFFFFFFFFF))
+        a = begin - h
+        end = a + run
+        end[long] = self.select0(h[long]) - h[long]
+        return a, end
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of each x, or -1; only looked for in [lo, hi) if given."""

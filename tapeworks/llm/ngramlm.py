@@ -1,29 +1,32 @@
-"""Language-model scores from an Elias-Fano n-gram trie of words and word pairs.
+"""Language-model scores from an Elias-Fano n-gram trie.
 
 Tokens: words (runs of characters other than blanks and U+0009 to U+000D, A-Z
 lower-cased), then one end.  Training documents are those whose crc32 of the
-doc_id as text is not 2 modulo 7; all their pairs are counted, nothing is pruned.
-
-The trie is cut into shards by the context's hash.  In a shard, level one is the
-monotone sequence of context hashes; monotone pointers tell where each context's
-successors begin in level two, which is again monotone as (context's index,
-successor's hash).  A successor is looked for between its context's pointers only.
-Level two keeps the quantised smoothed probability of each pair, a(c, w) = n(c, w) /
-(n(c) + MU) as -log2 in steps of 1/1024, which interpolation completes with the share
-that is left to the word's own probability.  Shards are built with counts first; once
-all words are counted each is finished with its contexts' counts.  Levels are files in
-the shared folder that workers map into memory.  Words' own counts are kept exactly, in
-shards by the word's hash.
-
-    p(w | c) = a(c, w) + MU / (n(c) + MU) * p(w),   p(w) = (n(w) + 1) / (N + 1 * (V + 1))
-
-Each task counts its own words and pairs first, and sends a block of bytes for each
-shard.  A context with ``HOT`` or more successors in a task sends them to sixteen
-shards by the successor; a reader that finds n(c) >= HOT looks there too.
+doc_id as text is not 2 modulo 7; all their n-grams are counted, nothing is pruned.
+
+The trie's order is one more than the number of its weights ``mu`` (three here: words,
+pairs, triples).  It is cut into shards by the first word.  In a shard, level one is the
+monotone sequence of first words' hashes; each further level is the monotone sequence of
+(parent's index, successor's hash).  The upper part of a level's Elias-Fano code holds its
+monotone pointers: the zeros at which each parent's successors begin and end.  A gram is
+found from its first word down: the index found in one level is the context whose
+successors the next is searched for, and nothing outside that context's span is read.
+Beside each level lie the quantised smoothed probabilities, a(c, w) = n(c, w) / (n(c) + mu)
+as -log2 in steps of 1/1024, which interpolation completes with the share that is left to
+the shorter context.  Levels are files in the shared folder that workers map into memory.
+
+    p(w | c) = a(c, w) + mu / (n(c) + mu) * p(w | c without its first word)
+    p(w) = (n(w) + 1) / (N + 1 * (V + 1))
+
+n(c) of a longer context is read back from its own a.  At a text's begin the context is
+the begin, which occurs once a text.  Words are counted first, exactly, in shards by the
+word's hash; then each task counts its grams and sends a small trie to each shard.  A word
+with more than ``hot`` training tokens is spread over n / hot shards by its successor, which
+counting and reading both take from the word's count.
 
 Null texts count as empty (one token, the end).  A null doc_id counts as an empty
 text, so its row trains.  Words are told apart by 64-bit hashes, successors within a
-context by 40 bits.
+context by 32 bits.
 """
 
 from __future__ import annotations
@@ -38,21 +41,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, column, drop_path, new_path, scan_bytes, written
+from .common import WordHashes, bounded_batches, column, new_path, scan_bytes, written
 from .eliasfano import Sequence, from_buffer, sequence, to_bytes
 
-MU = 200.0
-HOT, SPREAD = 4096, 16
+#: Weight of the next lower order, for pairs and for triples; the trie's order is one more than their number.
+MU = (200.0, 20.0)
+#: Training tokens after a word that one shard takes; a more frequent word is spread over more.
+HOT = 1 << 16
+#: Bits that tell a context's successors apart.
+BITS = 32
 #: Tokens that a worker counts, or scores, at a time.
 COUNT_TOKENS, SCORE_TOKENS = 4_000_000, 1_000_000
 #: Bytes of input for each shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 MODULUS, HELD = 7, 2
 
-# Neither holds what a word may hold.
+# None holds what a word may hold.
 _END = xxhash.xxh64_intdigest(b" end ")
 _BEGIN = xxhash.xxh64_intdigest(b" begin ")
-_LOW40 = np.uint64((1 << 40) - 1)
+_AFTER = xxhash.xxh64_intdigest(b" after ")
+_LOW = np.uint64((1 << BITS) - 1)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -99,61 +107,118 @@ def load(path: str) -> dict[str, np.ndarray] | None:
     return from_buffer(store.open_input_file(at).read_buffer())
 
 
+# ---- grams
+
+
+def padded(docs: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (word hashes with the end), each after its begin and filled up behind; where each text's next one begins."""
+    front, back = np.array([_BEGIN], np.uint64), np.full(order - 2, _AFTER, np.uint64)
+    parts = [x for d in docs for x in (front, d, back)]
+    return np.concatenate(parts), np.cumsum([len(d) + order - 1 for d in docs])
+
+
+def windows(x: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct words, and the numbers of them in each window of ``order`` words of a text: as many as it has tokens."""
+    vocab, of = np.unique(x, return_inverse=True)
+    whole = np.ones(len(x), bool)
+    for back in range(1, order):
+        whole[ends - back] = False
+    at = np.flatnonzero(whole)
+    return vocab, [of[at + i] for i in range(order)]
+
+
+def distinct(cols: list[np.ndarray], size: int, inverse: bool = False):
+    """Columns of the distinct rows in order, each one's count and, if asked for, the row of each; numbers below ``size``."""
+    bits = max(1, int(size - 1).bit_length())
+    if bits * len(cols) <= 63:
+        key = cols[0].astype(np.int64)
+        for c in cols[1:]:
+            key = (key << bits) | c
+        found = np.unique(key, return_inverse=inverse, return_counts=True)
+        mask = (1 << bits) - 1
+        rows = [(found[0] >> (bits * (len(cols) - 1 - i))) & mask for i in range(len(cols))]
+    else:  # prefixes are numbered first, so that a key fits
+        key = cols[0].astype(np.int64)
+        for c in cols[1:]:
+            _, first, key = np.unique((key << 31) | c, return_index=True, return_inverse=True)
+        found = np.unique(key, return_inverse=inverse, return_counts=True)
+        rows = [c[first] for c in cols]
+    return (rows, found[-1], found[1]) if inverse else (rows, found[-1])
+
+
+def prefixes(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """For each length, the rows at which a new prefix of that length begins; rows are in order."""
+    new = np.zeros(len(rows[0]), bool)
+    new[:1] = True
+    out = []
+    for c in rows:
+        new = new.copy()
+        new[1:] |= c[1:] != c[:-1]
+        out.append(np.flatnonzero(new))
+    return out
+
+
+def _by(of: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers of each distinct value."""
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[order])) + 1
+    return (x for x in np.split(order, cuts) if len(x))
+
+
 # ---- counting
 
 
-def _spread(succ: np.ndarray) -> np.ndarray:
-    return np.uint64(1) + (succ & np.uint64(SPREAD - 1))
+def _planes(a: np.ndarray) -> np.ndarray:
+    """Bytes of small numbers, all the lowest ones first: mostly zeros, which a shuffle compresses."""
+    return np.ascontiguousarray(a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _numbers(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
-def _count_block(tokens: np.ndarray, is_first: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, shard, bytes) of the words (0) and pairs (1) of a run of whole documents: tokens, each document ending in the end."""
-    vocab, where = np.unique(np.r_[tokens, np.uint64(_BEGIN)], return_inverse=True)
-    begin, where = where[-1], where[:-1].astype(np.int64)
-    counts = np.bincount(where, minlength=len(vocab)).astype(np.uint32)
+def _word_blocks(x: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    vocab, n = np.unique(x, return_counts=True)
     of = (vocab % np.uint64(shards)).astype(np.int64)
-    seen = counts > 0
-    for s in np.unique(of[seen]):
-        m = seen & (of == s)
-        yield 0, int(s), to_bytes({"key": vocab[m], "n": counts[m]})
-    before = np.r_[begin, where[:-1]]
-    before[is_first] = begin
-    pairs, n = np.unique((before << 32) | where, return_counts=True)
-    c, w = pairs >> 32, pairs & 0xFFFFFFFF
-    types = np.bincount(c, minlength=len(vocab))
-    ctx, succ = vocab[c], vocab[w] & _LOW40
-    to = np.where(types[c] >= HOT, ctx % np.uint64(shards) + _spread(succ), ctx % np.uint64(shards)) % np.uint64(shards)
-    order = np.lexsort((succ, ctx, to))
-    to, ctx, succ, n = to[order], ctx[order], succ[order], n[order].astype(np.uint32)
-    cuts = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        own = ctx[lo:hi]
-        runs = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        five = succ[lo:hi].view(np.uint8).reshape(-1, 8)[:, :5]
-        yield 1, int(to[lo]), to_bytes({"ctx": own[runs], "run": np.diff(np.r_[runs, hi - lo]).astype(np.uint32), "succ": five.ravel(), "n": n[lo:hi]})
-
-
-def _counted(shards: int):
+    for rows in _by(of):
+        yield int(of[rows[0]]), to_bytes({"key": vocab[rows], "n": n[rows].astype(np.int64)})
+
+
+def _gram_blocks(docs: list[np.ndarray], reader: Reader) -> Iterator[tuple[int, bytes]]:
+    """(shard, bytes) of the small tries of whole documents: level 0 has words' hashes, each level its nodes' numbers of children."""
+    order = reader.m.order
+    vocab, cols = windows(*padded(docs, order), order)
+    rows, n = distinct(cols, len(vocab))
+    to = reader.shard(vocab, reader.context_counts(vocab), rows[0], rows[1])
+    for at in _by(to):
+        own = [c[at] for c in rows]
+        starts = prefixes(own)
+        block = {"k0": vocab[own[0][starts[0]]], "n": _planes(n[at])}
+        for level in range(1, order):
+            block[f"k{level}"] = (vocab[own[level][starts[level]]] & _LOW).astype(np.uint32)
+            block[f"r{level}"] = _planes(np.diff(np.r_[np.searchsorted(starts[level], starts[level - 1]), len(starts[level])]))
+        yield int(to[at[0]]), to_bytes(block)
+
+
+def _in_blocks(make):
+    """An Arrow function: ``make`` turns lists of documents' word hashes into (shard, bytes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         held: list[np.ndarray] = []
-        firsts: list[int] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            is_first = np.zeros(size, bool)
-            is_first[firsts] = True
-            for kind, shard, data in _count_block(np.concatenate(held), is_first, shards):
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([data], pa.binary())], names=["kind", "shard", "data"])
+            for shard, data in make(held):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], names=["shard", "data"])
 
         for b in batches:
             for text in column(b, "text"):
-                firsts.append(size)
                 held.append(np.r_[hashes.of(words_of(text)), np.uint64(_END)])
                 size += len(held[-1])
                 if size >= COUNT_TOKENS:
                     yield from out()
-                    held, firsts, size = [], [], 0
+                    held, size = [], 0
         if size:
             yield from out()
 
@@ -163,21 +228,10 @@ def _counted(shards: int):
 # ---- building
 
 
-def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct sorted keys (major first) and the sums of n."""
-    order = np.lexsort(keys[::-1])
-    keys, n = [k[order] for k in keys], n[order]
-    new = np.zeros(len(n), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.add.reduceat(n, at) if len(at) else n
-
-
 def word_shard(blocks: list[dict]) -> tuple[bytes, int, int]:
     """File of a shard of words; how many, and the sum of their counts."""
-    (key,), n = _summed([np.concatenate([b["key"] for b in blocks])], np.concatenate([b["n"] for b in blocks]).astype(np.int64))
+    key, of = np.unique(np.concatenate([b["key"] for b in blocks]), return_inverse=True)
+    n = np.bincount(of, np.concatenate([b["n"] for b in blocks])).astype(np.int64)
     return to_bytes(Sequence.build(key >> np.uint64(1), 1 << 63).parts("words") | {"n": n}), len(key), int(n.sum())
 
 
@@ -185,60 +239,52 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.rint(-np.log2(p) * 1024).astype(np.uint16)
 
 
-def pair_shard(blocks: list[dict]) -> tuple[bytes, int, int]:
-    """File of a shard of pairs: the two levels, pointers and counts."""
-    ctx = np.concatenate([np.repeat(b["ctx"], b["run"]) for b in blocks])
-    succ = np.concatenate([b["succ"].reshape(-1, 5) for b in blocks])
-    succ = np.ascontiguousarray(np.pad(succ, ((0, 0), (0, 3)))).view(np.uint64).ravel()
-    n = np.concatenate([b["n"] for b in blocks]).astype(np.int64)
-    (ctx, succ), n = _summed([ctx, succ], n)
-    starts = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-    node = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.r_[starts, len(ctx)]))
-    parts = Sequence.build(ctx[starts] >> np.uint64(1), 1 << 63).parts("contexts")
-    parts |= Sequence.build(np.r_[starts, len(ctx)], len(ctx) + 1).parts("pointers")
-    parts |= Sequence.build((node << np.uint64(40)) | succ, max(1, len(starts)) << 40).parts("successors")
-    return to_bytes(parts | {"n": n.astype(np.uint32)}), len(ctx), int(n.sum())
-
-
-def _build(path: str):
+def gram_shard(blocks: list[dict], reader: Reader) -> tuple[bytes, int, int]:
+    """File of a shard of grams, level by level; how many longest ones, and the sum of their counts."""
+    m = reader.m
+    first, node = np.unique(np.concatenate([b["k0"] for b in blocks]), return_inverse=True)
+    parts = Sequence.build(first >> np.uint64(1), 1 << 63).parts("level0")
+    leaves = np.concatenate([_numbers(b["n"]) for b in blocks])
+    children = [np.concatenate([_numbers(b[f"r{i}"]) for b in blocks]) for i in range(1, m.order)]
+    above, parents = reader.context_counts(first), len(first)
+    for level in range(1, m.order):
+        node = np.repeat(node, children[level - 1])
+        key = np.concatenate([b[f"k{level}"] for b in blocks]).astype(np.uint64)
+        key |= node.astype(np.uint64) << np.uint64(BITS)
+        key, node = np.unique(key, return_inverse=True)
+        under = node
+        for deeper in children[level:]:
+            under = np.repeat(under, deeper)
+        n = np.bincount(under, leaves)
+        p = n / (above[(key >> np.uint64(BITS)).astype(np.int64)] + m.mu[level - 1])
+        parts |= Sequence.build(key, parents << BITS).parts(f"level{level}") | {f"code{level}": quantised(p)}
+        above, parents = n, len(key)
+    return to_bytes(parts), parents, int(leaves.sum())
+
+
+def _build(path: str, name: str, make):
     def run(pdf):
         import pandas as pd
 
-        kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
-        blocks = [from_buffer(x) for x in pdf["data"]]
-        data, size, n = word_shard(blocks) if kind == 0 else pair_shard(blocks)
-        save(f"{path}/{'words' if kind == 0 else 'counts'}-{shard}", data)
-        return pd.DataFrame({"kind": [kind], "shard": [shard], "size": [size], "n": [n]})
-
-    return run
-
-
-def _finish(path: str, shards: int, mu: float):
-    """Shards of counts become shards of quantised smoothed probabilities."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Model(path, shards, 0, 0, mu))
-        for b in batches:
-            for shard in b.column("shard").to_pylist():
-                a = load(f"{path}/counts-{shard}")
-                contexts, pointers = sequence(a, "contexts"), sequence(a, "pointers")
-                ends = pointers.get(np.arange(contexts.n + 1)).astype(np.int64)
-                own = np.repeat(reader.context_counts(contexts.get(np.arange(contexts.n))), np.diff(ends))
-                done = {k: v for k, v in a.items() if k != "n"} | {"code": quantised(a["n"] / (own + mu))}
-                save(f"{path}/pairs-{shard}", to_bytes(done))
-            yield b
+        shard = int(pdf["shard"].iloc[0])
+        data, size, n = make([from_buffer(x) for x in pdf["data"]])
+        save(f"{path}/{name}-{shard}", data)
+        return pd.DataFrame({"shard": [shard], "size": [size], "n": [n]})
 
     return run
 
 
 class Model:
-    """Where a trie is, and its totals: tokens N, distinct words V."""
+    """Where a trie is, its weights, and its totals: tokens N, distinct words V."""
 
-    def __init__(self, path: str, shards: int, tokens: int, words: int, mu: float = MU) -> None:
-        self.path, self.shards, self.tokens, self.words, self.mu = path, shards, tokens, words, mu
+    def __init__(self, path: str, shards: int, mu: tuple[float, ...] = MU, hot: int = HOT, tokens: int = 0, words: int = 0) -> None:
+        if not mu:
+            raise ValueError("a trie has pairs at least")
+        self.path, self.shards, self.mu, self.order, self.hot = path, shards, tuple(mu), len(mu) + 1, hot
+        self.tokens, self.words = tokens, words
 
 
-def train(docs: DataFrame, shards: int | None = None, mu: float = MU) -> Model:
+def train(docs: DataFrame, shards: int | None = None, mu: tuple[float, ...] = MU, hot: int = HOT) -> Model:
     """The trie of all texts of ``docs``, written to the shared folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -247,22 +293,24 @@ def train(docs: DataFrame, shards: int | None = None, mu: float = MU) -> Model:
         if size > 1 << 55:  # Spark's way to say that it doesn't know
             size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(16, size // SHARD_BYTES)
-    path = new_path(spark, "trie")
-    blocks = docs.select("text").mapInArrow(_counted(shards), "kind int, shard int, data binary")
-    built = written(blocks.groupBy("kind", "shard").applyInPandas(_build(path), "kind int, shard int, size long, n long"), "shards")
-    pairs = built.where("kind = 1").select("shard").repartition(max(1, min(shards, 10_000)), "shard")
-    done = written(pairs.mapInArrow(_finish(path, shards, mu), "shard int"), "finished")
-    for shard in done.select("shard").toLocalIterator():
-        drop_path(spark, f"{path}/counts-{shard[0]}")
-    sums = {r["kind"]: r for r in built.groupBy("kind").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()}
-    return Model(path, shards, sums[0]["n"] if sums else 0, sums[0]["size"] if sums else 0, mu)
+    model = Model(new_path(spark, "trie"), shards, mu, hot)
+    texts = docs.select("text")
+
+    def built(blocks, name: str, make) -> DataFrame:
+        sent = texts.mapInArrow(_in_blocks(blocks), "shard int, data binary")
+        return written(sent.groupBy("shard").applyInPandas(_build(model.path, name, make), "shard int, size long, n long"), name)
+
+    totals = built(lambda held: _word_blocks(np.concatenate(held), shards), "words", word_shard).agg(F.sum("size"), F.sum("n")).first()
+    model.words, model.tokens = totals[0] or 0, totals[1] or 0
+    built(lambda held: _gram_blocks(held, Reader(model)), "grams", lambda blocks: gram_shard(blocks, Reader(model)))
+    return model
 
 
 # ---- reading
 
 
 class Reader:
-    """Looks words and pairs up in a model's files, each opened when it is first needed."""
+    """Looks words and grams up in a model's files, each opened when it is first needed."""
 
     def __init__(self, model: Model) -> None:
         self.m = model
@@ -276,7 +324,7 @@ class Reader:
             elif name.startswith("words"):
                 self._files[name] = (sequence(a, "words"), a["n"])
             else:
-                self._files[name] = (sequence(a, "contexts"), sequence(a, "pointers"), sequence(a, "successors"), a["code"])
+                self._files[name] = [(sequence(a, f"level{i}"), a.get(f"code{i}")) for i in range(self.m.order)]
         return self._files[name]
 
     def counts(self, words: np.ndarray) -> np.ndarray:
@@ -289,70 +337,74 @@ class Reader:
                 out[rows[at >= 0]] = f[1][at[at >= 0]]
         return out
 
-    def context_counts(self, halves: np.ndarray) -> np.ndarray:
-        """Training count of contexts given without their lowest bit, as a shard keeps them; the beginning has that of the end."""
-        out = np.zeros(len(halves), np.int64)
-        for low in (0, 1):
-            full = (halves << np.uint64(1)) | np.uint64(low)
-            full[halves == np.uint64(_BEGIN >> 1)] = np.uint64(_END)
-            out = np.maximum(out, self.counts(full))
-        return out
-
-    def _pairs(self, ctx: np.ndarray, succ: np.ndarray, of: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ctx), np.float64)
-        for rows in _by(of):
-            if f := self._file(f"pairs-{of[rows[0]]}"):
-                contexts, pointers, successors, code = f
-                distinct, back = np.unique(ctx[rows], return_inverse=True)
-                node = contexts.find(distinct >> np.uint64(1))
-                lo, hi = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+    def context_counts(self, words: np.ndarray) -> np.ndarray:
+        """Training count of each word as a context; the beginning has that of the end."""
+        return self.counts(np.where(words == np.uint64(_BEGIN), np.uint64(_END), words))
+
+    def shard(self, vocab: np.ndarray, count: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Shard of each gram by the numbers of its first two words; ``count`` of words as contexts."""
+        s = np.uint64(self.m.shards)
+        spread = np.exp2(np.ceil(np.log2(np.maximum(1, count / self.m.hot)))).astype(np.uint64)
+        return (((vocab % s)[first] + (vocab[second] & (spread - np.uint64(1))[first])) % s).astype(np.int64)
+
+    def grams(self, vocab: np.ndarray, count: np.ndarray, rows: list[np.ndarray], starts: list[np.ndarray]) -> list[np.ndarray]:
+        """Stored probability (0: none) of each distinct prefix of two words and more, found from the first word down."""
+        pairs = starts[1]
+        of = self.shard(vocab, count, rows[0][pairs], rows[1][pairs])
+        out = [np.zeros(len(s), np.float64) for s in starts[1:]]
+        up = [np.searchsorted(starts[i - 1], starts[i], "right") - 1 for i in range(1, len(starts))]
+        where = [of]
+        for i in range(1, len(up)):
+            where.append(where[-1][up[i]])
+        for level_rows in zip(*map(_by, where), strict=True):
+            levels = self._file(f"grams-{of[level_rows[0][0]]}")
+            if not levels:
+                continue
+            # Indices in the level above of this shard's prefixes, by their number.
+            words, back = np.unique(rows[0][pairs[level_rows[0]]], return_inverse=True)
+            node = levels[0][0].find(vocab[words] >> np.uint64(1))[back]
+            for i, mine in enumerate(level_rows):
+                if i:
+                    node = node[np.searchsorted(level_rows[i - 1], up[i][mine])]
                 known = np.flatnonzero(node >= 0)
-                lo[known] = pointers.get(node[known]).astype(np.int64)
-                hi[known] = pointers.get(node[known] + 1).astype(np.int64)
-                ok = np.flatnonzero(node[back] >= 0)
-                rows, back = rows[ok], back[ok]
-                x = (node[back].astype(np.uint64) << np.uint64(40)) | succ[rows]
-                at = successors.find(x, lo[back], hi[back])
-                out[rows[at >= 0]] = np.exp2(code[at[at >= 0]] / -1024.0)
-        return out
-
-    def pairs(self, ctx: np.ndarray, word: np.ndarray, ctx_count: np.ndarray) -> np.ndarray:
-        """Smoothed probability of each pair; a pair in two shards has the sum."""
-        succ, s = word & _LOW40, np.uint64(self.m.shards)
-        home = (ctx % s).astype(np.int64)
-        out = self._pairs(ctx, succ, home)
-        hot = np.flatnonzero(ctx_count >= HOT)
-        far = ((ctx[hot] % s + _spread(succ[hot])) % s).astype(np.int64)
-        hot, far = hot[far != home[hot]], far[far != home[hot]]
-        out[hot] += self._pairs(ctx[hot], succ[hot], far)
+                succ = vocab[rows[i + 1][starts[i + 1][mine[known]]]] & _LOW
+                sequence_, code = levels[i + 1]
+                at = sequence_.find((node[known].astype(np.uint64) << np.uint64(BITS)) | succ)
+                node = np.full(len(mine), -1, np.int64)
+                node[known] = at
+                hit = known[at >= 0]
+                out[i][mine[hit]] = np.exp2(code[at[at >= 0]] / -1024.0)
         return out
 
     def score(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base score and score of documents given as word hashes with the end."""
         m = self.m
         sizes = np.array([len(d) for d in docs])
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        tokens = np.concatenate(docs)
-        vocab, where = np.unique(np.r_[tokens, np.uint64(_BEGIN)], return_inverse=True)
-        begin, where = where[-1], where[:-1].astype(np.int64)
+        begins = np.r_[0, np.cumsum(sizes)[:-1]]
+        vocab, cols = windows(*padded(docs, m.order), m.order)
+        rows, _, back = distinct(cols, len(vocab), inverse=True)
+        starts = prefixes(rows)
         count = self.counts(vocab)
         unit = (count + 1.0) / (m.tokens + (m.words + 1.0))
-        count_as_context = count.copy()
-        count_as_context[begin] = count[np.searchsorted(vocab, np.uint64(_END))]  # each document has one of either
-        before = np.r_[begin, where[:-1]]
-        before[starts] = begin
-        pairs, back = np.unique((before << 32) | where, return_inverse=True)
-        c, w = pairs >> 32, pairs & 0xFFFFFFFF
-        p = self.pairs(vocab[c], vocab[w], count_as_context[c]) + m.mu * unit[w] / (count_as_context[c] + m.mu)
-        total = lambda x: np.add.reduceat(x, starts)
-        return total((count > 0)[where].astype(np.int64)), total(np.log10(unit)[where]), total(np.log10(p)[back])
-
-
-def _by(of: np.ndarray) -> Iterator[np.ndarray]:
-    """Row numbers of each distinct value."""
-    order = np.argsort(of, kind="stable")
-    cuts = np.flatnonzero(np.diff(of[order])) + 1
-    return (x for x in np.split(order, cuts) if len(x))
+        own = count.copy()
+        own[vocab == np.uint64(_BEGIN)] = self.counts(np.array([_END], np.uint64))
+        stored = self.grams(vocab, own, rows, starts)
+        place = np.arange(len(back)) - np.repeat(begins, sizes)
+        word = cols[1]
+        p = unit[word]
+        above = own[rows[0][starts[0]]].astype(np.float64)
+        parent = np.searchsorted(starts[0], np.arange(len(rows[0])), "right") - 1
+        for i, a in enumerate(stored):  # i words of the context stand before the pair's
+            number = np.searchsorted(starts[i + 1], np.arange(len(rows[0])), "right") - 1
+            share = m.mu[i] / (above + m.mu[i])
+            at = back[: len(back) - i]
+            longer = a[number[at]] + share[parent[at]] * p[i:]
+            p = np.r_[p[:i], np.where(place[i:] >= i, longer, p[i:])]
+            n = np.zeros(len(a))
+            n[number] = above[parent]
+            above, parent = a * (n + m.mu[i]), number
+        total = lambda x: np.add.reduceat(x, begins)
+        return total((count > 0)[word].astype(np.int64)), total(np.log10(unit)[word]), total(np.log10(p))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -386,9 +438,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame, shards: int | None = None, mu: float = MU) -> DataFrame:
+def score_documents(docs: DataFrame, shards: int | None = None, mu: tuple[float, ...] = MU, hot: int = HOT) -> DataFrame:
     """Train on the documents that aren't held out and score all of them."""
     docs = docs.select("doc_id", "text")
-    model = train(docs.where(~held_out(F.col("doc_id"))), shards, mu)
+    model = train(docs.where(~held_out(F.col("doc_id"))), shards, mu, hot)
     out = score(docs, model)
     return out.withColumn("held_out", held_out(F.col("doc_id")))

@@ -27,20 +27,32 @@ def test_sequence(n, universe):
 
 
 def expected(rows, mu=L.MU):
+    """Counts of plain tuples; contexts grow one word at a time up to len(mu) words."""
     train = [(i, t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    uni, bi = Counter(), Counter()
+    uni, grams = Counter(), Counter()
     for _, t in train:
         w = [*(t or "").encode().lower().split(), "END"]
         uni.update(w)
-        bi.update(zip(["BEGIN", *w], w, strict=False))
+        x = ["BEGIN", *w]
+        for k in range(2, len(mu) + 2):
+            grams.update(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
     n, v = sum(uni.values()), len(uni)
+
+    def seen(c):
+        return len(train) if c == ("BEGIN",) else uni[c[0]] if len(c) == 1 else grams[c]
+
     out = []
     for i, t in rows:
         w = [*(t or "").encode().lower().split(), "END"]
-        p = {x: (uni[x] + 1) / (n + v + 1) for x in w}
-        base = sum(math.log10(p[x]) for x in w)
-        score = sum(math.log10((bi[c, x] + mu * p[x]) / ((len(train) if c == "BEGIN" else uni[c]) + mu)) for c, x in zip(["BEGIN", *w], w, strict=False))
-        out.append((i, len(w), sum(uni[x] > 0 for x in w), n, base, score))
+        unit = {y: (uni[y] + 1) / (n + v + 1) for y in w}
+        x, score = ["BEGIN", *w], 0.0
+        for at in range(1, len(x)):
+            p = unit[x[at]]
+            for k in range(1, min(len(mu), at) + 1):
+                c = tuple(x[at - k : at])
+                p = (grams[(*c, x[at])] + mu[k - 1] * p) / (seen(c) + mu[k - 1])
+            score += math.log10(p)
+        out.append((i, len(w), sum(uni[y] > 0 for y in w), n, sum(math.log10(unit[y]) for y in w), score))
     return out
 
 
@@ -53,16 +65,32 @@ def compare(got, want):
         assert math.isclose(g[5], w[5], rel_tol=5e-4, abs_tol=5e-3)
 
 
-def test_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("mu", "hot"), [(L.MU, L.HOT), (L.MU, 5), ((50.0,), 5), ((200.0, 20.0, 3.0), 5)])
+def test_brute_force(spark, mu, hot):
+    """Orders 2 to 4; with ``hot`` 5 frequent words are spread over shards."""
     rng = random.Random(8)
     rows = [(i, " ".join(words(rng, rng.randrange(80), 30))) for i in range(60)] + [(60, None), (61, ""), (62, "unseen Words ÉÉ"), (None, "a b"), (3, "twice"), (3, "twice")]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
-    compare(L.score_documents(docs).collect(), expected(rows))
-    monkeypatch.setattr(L, "HOT", 5)  # frequent contexts spread over shards
-    monkeypatch.setattr(L, "COUNT_TOKENS", 100)
-    monkeypatch.setattr(L, "SCORE_TOKENS", 50)
-    block = list(L._count_block(np.arange(20, dtype=np.uint64) % 6, np.arange(20) % 10 == 0, 16))
-    assert sum(int(from_buffer(d)["n"].sum()) for k, _, d in block if k == 1) == 20
+    compare(L.score_documents(docs, mu=mu, hot=hot).collect(), expected(rows, mu))
+
+
+def test_distinct_rows():
+    """Keys that don't fit 63 bits give the same rows as those that do."""
+    rng = np.random.default_rng(5)
+    cols = [rng.integers(0, 9, 400) for _ in range(3)]
+    rows, n, back = L.distinct(cols, 9, inverse=True)
+    wide, m, there = L.distinct(cols, 1 << 22, inverse=True)
+    assert all((a == b).all() for a, b in zip(rows, wide, strict=True))
+    assert (n == m).all() and (back == there).all() and n.sum() == 400
+    assert all((r[back] == c).all() for r, c in zip(rows, cols, strict=True))
+
+
+def test_long_runs_of_a_bucket():
+    """Buckets of more than 64 values end at the right place."""
+    values = np.r_[np.arange(100), np.arange(10_000, 10_300), [1 << 20]].astype(np.uint64)
+    s = Sequence.build(values, 1 << 22)
+    assert (s.find(values) == np.arange(len(values))).all()
+    assert (s.find(np.array([100, 9_999, 10_300, 1 << 21], np.uint64)) == -1).all()
 
 
 def test_empty(spark):
