@@ -58,6 +58,25 @@ def test_ratio(spark):
         assert math.isclose(r.llr, sum(map(weight, grams[r.doc_id])) / len(grams[r.doc_id]), abs_tol=1e-12)
 
 
+def test_every_trusted_document_counts(spark):
+    """More trusted rows than the 20,000 that once were the most, by both kinds of join."""
+    docs = spark.range(20_500).selectExpr("id as doc_id", "concat('a b ', id) as text").union(spark.createDataFrame([(None, "n n"), (7, "a b 7")], "doc_id long, text string"))
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    # Each row with an id is trusted, the one without isn't, so both counts differ by its two words and one pair.
+    grams = {r.text: [b for b in r.g if b is not None] for r in Q.with_hashes(docs).select("text", Q.grams(64).alias("g")).collect()}
+    raw = Counter(b for t in grams for b in grams[t]) + Counter(grams["a b 7"])
+    good = raw - Counter(grams["n n"])
+    weight = lambda b: math.log((good[b] + 1) / (good.total() + 64)) - math.log((raw[b] + 1) / (raw.total() + 64))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for most in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        got = Q.quality(docs, labels, buckets=64).where("doc_id % 1000 = 0 or doc_id = 7 or doc_id is null").collect()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert len(got) == 24
+        for r in got:
+            assert math.isclose(r.llr, sum(map(weight, grams[r.text])) / len(grams[r.text]), abs_tol=1e-12)
+
+
 def test_query(spark, sf):
     got = {r.doc_id: r for r in queries()["op3_quality_rules"](spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
